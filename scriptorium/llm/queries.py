@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import quality, shards
+from . import decontaminate, quality, secrets, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,34 @@ SELECT doc_id, source, size, text_crc32, 'rows' AS law, CAST(g * 40 // total AS
        g - ((g * 40 // total) * total + 39) // 40 AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM g
 """
+
+
+@_query("op5_credential_linking")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+@_query("op7_prefix_filtered_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+ORACLES["op7_prefix_filtered_decontamination"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS l, array_to_string(ws[s + 1 : s + 10], ' ') AS g
+       FROM (SELECT item_id, ws, unnest(range(greatest(len(ws) - 10, 0) + 1)) AS s FROM b WHERE len(ws) > 0)),
+lens AS (SELECT DISTINCT l FROM bw),
+dw AS (SELECT doc_id, l, s, array_to_string(ws[s + 1 : s + l], ' ') AS g
+       FROM (SELECT doc_id, ws, l, unnest(range(len(ws) - l + 1)) AS s FROM d, lens WHERE len(ws) >= l)),
+hits AS (SELECT doc_id, item_id, s, dw.l FROM dw JOIN bw ON dw.g = bw.g AND dw.l = bw.l),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + l)) AS p FROM hits) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
