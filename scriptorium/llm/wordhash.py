@@ -83,17 +83,17 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return mix(np.add.reduceat(value, first) + lengths.astype(np.uint64) * U(0xA24BAED4963EE407) + U(seed))
 
 
-def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
+def window_hashes(h: np.ndarray, k: int, factor: int = int(_Q)) -> np.ndarray:
     """Hash of each run of k values, by doubling; windows cross text bounds, which the caller masks."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     acc, width = h, 1
     for bit in bin(k)[3:]:
-        acc = acc[: len(acc) - width] * U(pow(int(_Q), width, 1 << 64)) + acc[width:]
+        acc = acc[: len(acc) - width] * U(pow(factor, width, 1 << 64)) + acc[width:]
         width *= 2
         if bit == "1":
-            acc = acc[: len(acc) - 1] * _Q + h[width:]
+            acc = acc[: len(acc) - 1] * U(factor) + h[width:]
             width += 1
     return mix(acc[:n])
 
