@@ -24,7 +24,8 @@ lost executor costs a recomputation of its part.
 
 Defined results: null and empty texts have no words; a null id sorts before
 all others; rows that share id and text count as one document and each get its
-result; an empty table gives an empty result.
+result; rows that share an id but not their text lose the places that any of
+them loses; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -306,8 +307,10 @@ def _strip(window: int, with_text: bool):
             kept = words
             if lo[i] < hi[i]:
                 edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, pos[lo[i] : hi[i]], 1)
-                np.add.at(edge, pos[lo[i] : hi[i]] + window, -1)
+                at = pos[lo[i] : hi[i]]
+                at = at[at + window <= len(words)]
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + window, -1)
                 kept = list(compress(words, np.cumsum(edge[:-1]) == 0))
             joined = b" ".join(kept)
             out[0].append(len(words))

@@ -34,7 +34,7 @@ def test_against_brute_force(spark, window, block, parts):
         ws = []
         for _ in range(rng.randint(0, 6)):
             ws += rng.choices(words, k=rng.randint(0, 30)) + (rng.choice(passages) if rng.random() < 0.6 else [])
-        rows.append((i * 7 - 300, rng.choice([" ", "\n", "  \t"]).join(ws)))
+        rows.append((i * 7 - 3000, rng.choice([" ", "\n", "  \t"]).join(ws)))
     rows += [(900 + i, rows[40][1]) for i in range(30)] + [(1000, "x " * 5000)]
     df = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, key string").repartition(5)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(df, window=window, block=block, parts=parts).collect()}
@@ -46,4 +46,6 @@ def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(5, t), (5, t), (None, t), (9, t)], "doc_id long, text string")
     got = sorted(((r.doc_id is not None, r.doc_id or 0), r.n_removed) for r in repeats.remove_repeats(df, parts=2).collect())
     assert [g[1] for g in got] == [0, 25, 25, 25]
+    clash = spark.createDataFrame([(1, t), (1, 'x'), (0, t)], 'doc_id long, text string')
+    assert len(repeats.remove_repeats(clash, parts=2).collect()) == 3
     assert repeats.remove_repeats(df.limit(0), parts=2).collect() == []
