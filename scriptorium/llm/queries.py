@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontaminate, jaccard, pii, quality, repeats, secrets, shards, tokens
+from . import decontaminate, jaccard, licences, pii, quality, repeats, secrets, shards, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -173,3 +173,9 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_context")
+
+
+@_query("op4_licence_dice")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licences.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_matches", "licence", "spans")
