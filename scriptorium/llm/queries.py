@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontaminate, jaccard, licences, pii, quality, repeats, secrets, shards, tokens
+from . import decontaminate, jaccard, licences, mixing, pii, quality, repeats, secrets, shards, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -179,3 +179,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licences.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_matches", "licence", "spans")
+
+#: Target weights of the labelled domains.
+MIXTURE = {"quality=1 toxic=0": 0.95, "quality=0 toxic=0": 0.05}
+
+
+@_query("op2_soft_membership_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), MIXTURE).select("doc_id", "n_tokens", "domain", "rate")
