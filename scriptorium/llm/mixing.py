@@ -1,7 +1,8 @@
 """Mixing to target weights with soft membership.
 
 A softmax classifier trained on the labelled table gives each document a
-posterior over domains (the combinations of label values). Nonnegative rates r
+posterior over domains: the combinations of label values, with one factor for
+each label, so scarce combinations share the evidence of their parts. Nonnegative rates r
 then minimise
 
     1/2 sum_k ((sum_i r_i n_i p_ik - T_k) / B)^2 + l/2 sum_i (n_i / B) (r_i - 1)^2
@@ -14,7 +15,7 @@ of the steps so far, so no state is kept on executors: every pass computes it
 anew, and a lost executor costs part of one pass.
 
 The classifier is fit on at most ``max_train`` labelled documents, chosen by a
-digest of their id. It sees which of the ``n_words`` most telling words a text
+digest of their id. It sees which of the ``n_words`` most telling words or stems a text
 has (by likelihood ratio over hashed words) and shares of characters and
 repeats. All other sums run over all documents.
 
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ from .storage import materialise
 from .text import drop_clashes
 
 HASH_BITS = 18
+STEM_BYTES = 6
 _CLASSES = [np.isin(np.arange(256), list(b)) for b in (b"#*$%&<>", b"|", b"!", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:?")]
 N_SHARES = len(_CLASSES) + 3
 
@@ -53,14 +56,18 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     for j, cls in enumerate(_CLASSES):
         run = np.concatenate([[0], np.cumsum(cls[data])])
         shares[:, j] = np.diff(run[offsets]) / size
-    h = wh.word_hashes(wh.lower(data), starts, ends)
+    folded = wh.lower(data)
+    h = wh.word_hashes(folded, starts, ends)
+    # words of one stem share their first bytes
+    stems = wh.word_hashes(folded, starts, np.minimum(ends, starts + STEM_BYTES), seed=1)
     same = np.zeros(len(h) + 1, np.int64)
     same[1 : len(h)] = h[1:] == h[:-1]
     run = np.concatenate([[0], np.cumsum(same)])
     shares[:, -3] = (run[np.maximum(fw[1:], fw[:-1])] - run[np.minimum(fw[:-1] + 1, fw[1:])]) / np.maximum(n, 1)
     shares[:, -2] = np.log1p(n)
     shares[:, -1] = size / np.maximum(n, 1) / 10
-    pair = np.unique((np.repeat(np.arange(n_texts), n).astype(np.int64) << HASH_BITS) | (h >> wh.U(64 - HASH_BITS)).astype(np.int64))
+    text = np.repeat(np.arange(n_texts), n).astype(np.int64) << HASH_BITS
+    pair = np.unique(np.concatenate([text | (x >> wh.U(64 - HASH_BITS)).astype(np.int64) for x in (h, stems)]))
     return n, shares, pair >> HASH_BITS, pair & ((1 << HASH_BITS) - 1)
 
 
@@ -81,10 +88,10 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 @dataclass
-class Model:
-    """Softmax weights over standardised shares and the presence of chosen words."""
+class Factor:
+    """Softmax over one label's values: standardised shares and the presence of chosen words."""
 
-    domains: list[str]
+    values: list[str]
     place: np.ndarray  # bucket -> row of ``weights``, or -1
     weights: np.ndarray
     mean: np.ndarray
@@ -96,13 +103,31 @@ class Model:
         score = (shares - self.mean) / self.scale @ self.share_weights + self.bias
         at = self.place[bucket]
         on = at >= 0
-        for k in range(len(self.domains)):
+        for k in range(len(self.values)):
             score[:, k] += np.bincount(text[on], self.weights[at[on], k], len(shares))
         score -= score.max(axis=1, keepdims=True)
         p = np.exp(score)
         return p / p.sum(axis=1, keepdims=True)
 
 
+@dataclass
+class Model:
+    """Independent factors, one for each label; domains are the combinations of their values."""
+
+    factors: list[Factor]
+
+    @property
+    def domains(self) -> list[str]:
+        return [" ".join(c) for c in product(*[f.values for f in self.factors])]
+
+    def posteriors(self, shares: np.ndarray, text: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        out = np.ones((len(shares), 1))
+        for f in self.factors:
+            p = f.posteriors(shares, text, bucket)
+            out = (out[:, :, None] * p[:, None, :]).reshape(len(shares), -1)
+        return out
+
+
 def _likelihood_ratio(table: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """G of each word's presence against the domains."""
     n = totals.sum()
@@ -114,12 +139,18 @@ def _likelihood_ratio(table: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return 2 * np.nan_to_num(yes + no).sum(axis=1)
 
 
-def fit(rows: list, n_words: int = 256, steps: int = 150, decay: float = 1e-3) -> Model:
+def fit(rows: list) -> Model:
     """Fit on collected training rows (domain, shares, words)."""
-    domains = sorted({r["domain"] for r in rows})
-    y = np.array([domains.index(r["domain"]) for r in rows])
     shares = np.stack([np.frombuffer(r["shares"]) for r in rows])
     words = [np.frombuffer(r["words"], "<i4") for r in rows]
+    parts = [r["domain"].split(" ") for r in rows]
+    return Model([_fit_factor([p[i] for p in parts], shares, words) for i in range(len(parts[0]))])
+
+
+def _fit_factor(labels: list[str], shares: np.ndarray, words: list[np.ndarray], n_words: int = 400, steps: int = 150, decay: float = 3e-4) -> Factor:
+    domains = sorted(set(labels))
+    rows = labels
+    y = np.array([domains.index(x) for x in labels])
     k, totals = len(domains), np.bincount(y, minlength=len(domains)).astype(float)
     table = np.zeros((1 << HASH_BITS, k))
     for c in range(k):
@@ -151,14 +182,14 @@ def fit(rows: list, n_words: int = 256, steps: int = 150, decay: float = 1e-3) -
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, w, t = new + (t - 1) / t_new * (new - w), new, t_new
     m = len(chosen)
-    return Model(domains, place, w[:m].astype(float), mean, scale, w[m:-1].astype(float), w[-1].astype(float))
+    return Factor(domains, place, w[:m].astype(float), mean, scale, w[m:-1].astype(float), w[-1].astype(float))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", max_train: int = 20_000) -> Model | None:
     """A model from at most ``max_train`` labelled documents; none without labels."""
     names = [c for c in labels.columns if c != id_col]
     known = labels.dropna().groupBy(id_col).agg(F.min(F.struct(*names)).alias("l"))
-    domain = F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.col(f"l.{c}").cast("string")) for c in sorted(names)])
+    domain = F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.regexp_replace(F.col(f"l.{c}").cast("string"), " ", "_")) for c in sorted(names)])
     sample = known.select(id_col, domain.alias("__domain")).orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(max_train)
     rows = docs.join(F.broadcast(sample), id_col).select("__domain", F.col(text)).mapInArrow(_training_rows, "domain string, shares binary, words binary").collect()
     return fit(rows) if rows else None
