@@ -16,9 +16,9 @@ system that Spark writes to, and its committer makes a retried task harmless.
 A document's place in the corpus is its offset plus its file's base, and the
 bases are prefix sums of the files' lengths in ascending order of ids.
 
-Encoding goes through the tokenizers library for each distinct chunk of
-non-space characters with the space before it. Byte-level pre-tokens never
-reach over such a chunk, so the ids are those of the whole text; texts with
+Encoding goes through the tokenizers library for each distinct chunk: a run of
+non-space characters, or its leading letters, with the space before it.
+Byte-level pre-tokens never reach over the end of a chunk, so the ids are those of the whole text; texts with
 control characters on which definitions of white space differ are encoded
 whole.
 
@@ -32,6 +32,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +43,15 @@ from pyspark.sql import functions as F
 from .storage import materialise, shared_dir
 
 MAGIC = b"SCRTOK01"
-_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+# a run of common letters before common marks or white space ends a pre-token, so marks need not make new chunks
+_CHUNK = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?*#$%&|\s]|\Z)| ?\S+|\s+(?!\S)|\s+")
 _UNSURE = re.compile("[\x1c-\x1f\x85᠎]")
-_CACHE = 400_000
+_CACHE = 300_000
+_LONG = 1_000_000
 
 
 class ChunkEncoder:
-    """Encodes texts to the bytes of their ids, remembering chunks."""
+    """Encodes texts to the bytes of their ids, remembering chunks in two generations."""
 
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,23 +61,55 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = dtype
         self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if _UNSURE.search(text):
-            return self.whole(text)
-        known = self.known
-        chunks = _CHUNK.findall(text)
-        new = list({c for c in chunks if c not in known})
-        if new:
-            if len(known) + len(new) > _CACHE:
-                known.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join([known[c] for c in chunks])
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        if len(self.known) > _CACHE:
+            self.known, self.older = {}, self.known
+        new = []
+        for c in chunks - self.known.keys():
+            if c in self.older:
+                self.known[c] = self.older[c]
+            else:
+                new.append(c)
+        self.known.update(zip(new, self._ids(new), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """A text's chunks are taken in pieces, so a very long text needs no list of them all."""
+        out: list[bytes] = []
+        group: list[list[str]] = []
+
+        def flush() -> None:
+            if group:
+                self._learn(set().union(*group))
+                known = self.known
+                out.extend(b"".join([known[c] for c in chunks]) for chunks in group)
+                group.clear()
+
+        for text in texts:
+            if _UNSURE.search(text):
+                flush()
+                out += self._ids([text])
+            elif len(text) < _LONG:
+                group.append(_CHUNK.findall(text))
+            else:
+                flush()
+                found, parts = _CHUNK.finditer(text), []
+                while piece := [m[0] for m in islice(found, _LONG)]:
+                    self._learn(set(piece))
+                    parts.append(b"".join([self.known[c] for c in piece]))
+                out.append(b"".join(parts))
+        flush()
+        return out
+
+
+@lru_cache(2)
+def encoder_of(path: str, dtype: str) -> ChunkEncoder:
+    """One encoder for all tasks of a worker."""
+    return ChunkEncoder(path, dtype)
 
 
 def id_dtype(path: str) -> str:
@@ -91,7 +127,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer, dtype)
+        encoder = encoder_of(tokenizer, dtype)
         ids: list[np.ndarray] = []
         lengths: list[int] = []
         n_null = 0
@@ -100,7 +136,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             texts = batch.column(1)
             for first in range(0, len(texts), 256):
-                out = [encoder.encode(t.as_py() or "") for t in texts[first : first + 256]]
+                out = encoder.encode([t.as_py() or "" for t in texts[first : first + 256]])
                 lengths += [len(x) // width + 1 for x in out]
                 yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
         if not lengths:

@@ -37,6 +37,23 @@ def test_round_trip_against_the_library(spark, tmp_path):
         assert all(ids[int(o) - 1] == 0 for o in offsets[1:])
 
 
+def test_chunks_give_the_ids_of_whole_texts():
+    import random
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    e = tokens.ChunkEncoder(PATH, "<u2")
+    rng = random.Random(3)
+    parts = ["a", "the", "É", "é", "ß", "'s", "'", "'ll", " ", "  ", "\n", "\t", ".", ",", "!", "*#", "12", "3", "_", "-", "\u00a0", "\u2003", "\u200b", "😀", "中文", "½", "²", "ª", "µ", "\x1d", "\u0301"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(8000)]
+    for text, got, want in zip(texts, e.encode(texts), t.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(got, "<u2").tolist() == want.ids, repr(text)
+    long = "".join(rng.choices(parts, k=600_000)).replace("\x1d", "")
+    assert np.frombuffer(e.encode([long])[0], "<u2").tolist() == t.encode(long, add_special_tokens=False).ids
+
+
 def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert tokens.encode_corpus(df, PATH, str(tmp_path / "e"), files=2).collect() == []
