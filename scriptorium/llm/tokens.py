@@ -86,7 +86,7 @@ class ChunkEncoder:
             if group:
                 self._learn(set().union(*group))
                 known = self.known
-                out.extend(b"".join([known[c] for c in chunks]) for chunks in group)
+                out.extend(b"".join(map(known.__getitem__, chunks)) for chunks in group)
                 group.clear()
 
         for text in texts:
