@@ -1,0 +1,8 @@
+"""The registered queries."""
+
+from __future__ import annotations
+
+from . import rank_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
