@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rank_queries  # noqa: F401
+from . import rank_queries, record_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
