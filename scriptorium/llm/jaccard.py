@@ -215,11 +215,52 @@ def _bounds(percent: int, n1: Column, r1: Column, n2: Column, r2: Column) -> Col
     return fits & ((F.least(n1 - r1, n2 - r2) + 1) * (100 + percent) >= (n1 + n2) * percent)
 
 
+def _id_bits(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (wh.mix(ids.view(np.uint64)) >> wh.U(64 - bits)).astype(np.int64)
+
+
+def _mark_ids(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(1 << bits, bool)
+        for batch in batches:
+            marks[_id_bits(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits)] = True
+        for i, part in enumerate(np.split(np.packbits(marks), _SLICES)):
+            if part.any():
+                yield pa.record_batch([pa.array([i]), pa.array([part.tobytes()], pa.binary())], ["slice", "marks"])
+
+    return run
+
+
+def _or_marks(table: pa.Table) -> pa.Table:
+    total = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("marks")])
+    return pa.table({"slice": table.column("slice")[:1], "marks": pa.array([total.tobytes()], pa.binary())})
+
+
+def _only_marked(bits: int, marks):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(marks.value).astype(bool)
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield batch.filter(pa.array(known[_id_bits(ids, bits)]))
+
+    return run
+
+
+def _candidate_texts(texts: DataFrame, wanted: DataFrame, bits: int = 23) -> DataFrame:
+    """The texts of the wanted ids. A table of 2^bits marks, whatever the input, drops most others before the shuffle; the join drops the rest."""
+    spark = texts.sparkSession
+    marks = np.zeros((_SLICES, (1 << bits) // 8 // _SLICES), np.uint8)
+    for r in wanted.mapInArrow(_mark_ids(bits), "slice long, marks binary").groupBy("slice").applyInArrow(_or_marks, "slice long, marks binary").collect():
+        marks[r["slice"]] = np.frombuffer(r["marks"], np.uint8)
+    shared = spark.sparkContext.broadcast(marks.ravel())
+    return texts.mapInArrow(_only_marked(bits, shared), "id long, text string").join(wanted, "id", "left_semi")
+
+
 def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int, levels) -> DataFrame:
     """Pairs (u, v) that pass the other filters and the comparison of their sets."""
     pairs = materialise(pairs)
     wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    sets = materialise(texts.join(wanted, "id", "left_semi").mapInArrow(_sets_of(k, percent, levels), "id long, tokens binary, second binary, third binary"))
+    sets = materialise(_candidate_texts(texts, wanted).mapInArrow(_sets_of(k, percent, levels), "id long, tokens binary, second binary, third binary"))
     # rows that share an id may differ in text, so a pair can meet in several rows
     left = sets.select(F.col("id").alias("u"), F.col("tokens").alias("t1"), F.col("second").alias("s1"), F.col("third").alias("d1"))
     right = sets.select(F.col("id").alias("v"), F.col("tokens").alias("t2"), F.col("second").alias("s2"), F.col("third").alias("d2"))
