@@ -30,7 +30,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -59,12 +61,15 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = dtype
+        self.dtype, self.typecode = dtype, "H" if dtype == "<u2" else "I"
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        if sys.byteorder == "little":
+            return [array(self.typecode, e.ids).tobytes() for e in found]
+        return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
     def _learn(self, chunks: set[str]) -> None:
         if len(self.known) > _CACHE:
