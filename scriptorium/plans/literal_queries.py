@@ -42,12 +42,12 @@ def lay_headings(spark, sf):
     return literal(spark, _HEAD).select("k", L.is_heading(F.col("text"), F.col("size").cast("double")).alias("heading"))
 
 
-_NOISE = "(VALUES (1, 'Guide to Admissions', 20.0), (2, 'Faculty of Arts', 300.0), (3, '42', 790.0), (4, 'Course text', 400.0)) AS t(k, text, top)"
+_NOISE = "(VALUES (1, 'Annual Guide', 20.0), (2, 'Faculty of Arts', 300.0), (3, '42', 790.0), (4, 'Course text', 400.0)) AS t(k, text, top)"
 
 
-@query("lay_drop_noise", f"SELECT k, text FROM {_NOISE} WHERE lower(text) NOT IN ('guide to admissions') AND NOT regexp_matches(text, '^Faculty of ') AND NOT regexp_matches(text, '^[0-9]+$') AND top < 0.94 * 800")
+@query("lay_drop_noise", f"SELECT k, text FROM {_NOISE} WHERE lower(text) NOT IN ('annual guide') AND NOT regexp_matches(text, '^Faculty of ') AND NOT regexp_matches(text, '^[0-9]+$') AND top < 0.94 * 800")
 def lay_drop_noise(spark, sf):
-    keep = ~F.lower("text").isin("guide to admissions") & ~F.rlike("text", F.lit("^Faculty of ")) & ~F.rlike("text", F.lit("^[0-9]+$")) & (F.col("top") < 0.94 * 800)
+    keep = ~F.lower("text").isin("annual guide") & ~F.rlike("text", F.lit("^Faculty of ")) & ~F.rlike("text", F.lit("^[0-9]+$")) & (F.col("top") < 0.94 * 800)
     return literal(spark, _NOISE).where(keep).select("k", "text")
 
 
