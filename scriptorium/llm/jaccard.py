@@ -34,7 +34,7 @@ from .components import components
 from .storage import materialise
 
 _NULL_ID = -(1 << 63)
-_CHUNK_WORDS = 1_000_000
+_CHUNK_WORDS = 300_000
 _SLICES = 64
 K2, K3 = wh.U(0x8CB92BA72F3D8DD7), wh.U(0x2545F4914F6CDD1D)
 
@@ -238,7 +238,7 @@ def _or_marks(table: pa.Table) -> pa.Table:
 
 def _only_marked(bits: int, marks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(marks.value).astype(bool)
+        known = np.unpackbits(marks.value).view(bool)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             yield batch.filter(pa.array(known[_id_bits(ids, bits)]))
