@@ -9,7 +9,8 @@ identifier, and an address only beside both.
 Matches and the text between them come from the regular expression engine in
 one order, so their lengths add up to places in code points. Everything is a
 column expression; only documents with complementary parts enter the join, in
-buckets as wide as a scope, so a long document's parts meet near ones alone.
+buckets as wide as a scope, each in all that it reaches, so a long document's
+parts meet near ones alone.
 
 Defined results: null or empty texts have no spans; repeated rows get equal
 results; rows that share an id are told apart by their text.
@@ -77,15 +78,17 @@ def _ranked(kind: str, k: int) -> Column:
 
 def _linked(parts: DataFrame, scope: int) -> DataFrame:
     """Weak parts with their complements in scope, one array of spans for each document."""
-    parts = parts.withColumn("bucket", F.expr(f"start div {scope}"))
-    near = parts.select("id", "hash", "role", "start", "end", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    near = near.toDF("n_id", "n_hash", "n_role", "n_start", "n_end", "n_bucket")
+    # spans meet in every bucket that both reach, and count in the first of these
+    parts = parts.withColumn("first", F.expr(f"start div {scope}"))
+    near = parts.select("id", "hash", "role", "start", "end", F.expr(f"(start - {scope}) div {scope}").alias("first"), F.expr(f"explode(sequence((start - {scope}) div {scope}, (end + {scope}) div {scope}))").alias("bucket"))
+    near = near.toDF("n_id", "n_hash", "n_role", "n_start", "n_end", "n_first", "n_bucket")
     apart = F.greatest(F.col("n_start") - F.col("end"), F.col("start") - F.col("n_end"))
-    met = parts.where("weak").join(
+    met = parts.where("weak").withColumn("bucket", F.expr(f"explode(sequence(first, end div {scope}))")).join(
         near,
         F.col("id").eqNullSafe(F.col("n_id"))
         & (F.col("hash") == F.col("n_hash"))
         & (F.col("bucket") == F.col("n_bucket"))
+        & (F.col("bucket") == F.greatest("first", "n_first"))
         & (F.col("role") != F.col("n_role"))
         & (apart <= scope),
     )

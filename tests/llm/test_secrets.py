@@ -51,3 +51,20 @@ def test_base_spans_match_brute_force_and_links_are_added(spark):
 
 def test_empty_table(spark):
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_long_parts_link_at_every_alignment(spark):
+    made = []
+    for at in range(300):
+        for size in (40, 400, 900):
+            for gap in (1, 291, 300, 301):
+                long, space = "z" * size, " " * gap
+                for text, start, end in (
+                    (f"token={long}{space}user: bob", at + 6 + size + gap, at + 15 + size + gap),
+                    (f"user: {long}{space}token=zzzzzz", at, at + 6 + size),
+                ):
+                    made.append((" " * at + text, f"account:{start}:{end}" if gap <= 300 else ""))
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("account:")] for r in secrets.find_secrets(df).collect()}
+    wrong = [i for i, (_, want) in enumerate(made) if got[i] != ([want] if want else [])]
+    assert not wrong, (len(wrong), made[wrong[0]])
