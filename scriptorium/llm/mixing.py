@@ -7,12 +7,18 @@ then minimise
 
     1/2 sum_k ((sum_i r_i n_i p_ik - T_k) / B)^2 + l/2 sum_i (n_i / B) (r_i - 1)^2
 
-where n_i counts tokens, T = B w are the target totals and the second term,
-small, keeps rates near one where the targets leave a choice. Accelerated
-projected gradient steps, in the metric of n_i / B, take one distributed sum of
-K numbers each. A document's rate follows from its posterior and the K-vectors
-of the steps so far, so no state is kept on executors: every pass computes it
-anew, and a lost executor costs part of one pass.
+where n_i counts tokens, T = B w are the target totals and the second term
+keeps rates near one where the targets leave a choice: with a ridge of l, a
+domain may miss its target by up to l of the budget. With ``relative``, each
+squared miss is divided by the domain's share s_k = sum_i n_i p_ik / B, which
+bounds the miss by l of the domain itself, however rare; what stays beyond that
+is expected tokens of a domain spread thinly over documents of others, which
+only dropping these would remove. The solution is r_i =
+clip(1 - sum_k p_ik m_k), with one multiplier m_k for each domain; Newton steps
+on the concave dual find these, each with one distributed pass that tries ten
+step lengths. A document's rate follows from its posterior and the multipliers,
+so no state is kept on executors: every pass computes it anew, and a lost
+executor costs part of one pass.
 
 The classifier is fit on at most ``max_train`` labelled documents, chosen by a
 digest of their id. It sees which of the ``n_words`` most telling words or stems a text
@@ -214,36 +220,34 @@ def _score(model):
 
 
 @dataclass(frozen=True)
-class Steps:
-    """The steps so far: everything that a rate depends on besides its posterior."""
+class Pull:
+    """Everything that a rate depends on besides its posterior: the domains' multipliers."""
 
-    errors: tuple[tuple[float, ...], ...]
-    step: float
-    ridge: float
+    by_domain: tuple[float, ...]
     max_rate: float
 
-    def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rates, extrapolated rates) of rows of posteriors."""
-        r = y = np.ones(len(p))
-        t = 1.0
-        for e in self.errors:
-            new = np.clip(y - self.step * (p @ np.array(e) + self.ridge * (y - 1)), 0, self.max_rate)
-            t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-            y, r, t = new + (t - 1) / t_new * (new - r), new, t_new
-        return r, y
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        return np.clip(1 - p @ np.array(self.by_domain), 0, self.max_rate) if self.by_domain else np.ones(len(p))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _sums(steps: Steps):
+def _sums(pulls: list[Pull]):
+    """For each pull: the dual's sum, tokens by domain, and tokens by pair of domains of rates that can move."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                p = _matrix(batch.column(1))
-                part = (steps.rates(p)[1] * batch.column(0).to_numpy(zero_copy_only=False)) @ p
+                p, n = _matrix(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+                parts = []
+                for pull in pulls:
+                    z, r = p @ np.array(pull.by_domain), pull.rates(p)
+                    free = n * ((1 - z >= 0) & (1 - z <= pull.max_rate))
+                    parts += [[n @ ((r - 1) ** 2 / 2 + z * r)], (r * n) @ p, (p.T @ (free[:, None] * p)).ravel()]
+                part = np.concatenate(parts)
                 total = part if total is None else total + part
         if total is not None:
             yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], ["k", "s"])
@@ -251,37 +255,51 @@ def _sums(steps: Steps):
     return run
 
 
-def solve(scored: DataFrame, weights: np.ndarray, budget: float | None = None, ridge: float = 0.02, max_rate: float = 4.0, max_steps: int = 40, tolerance: float = 1e-5) -> tuple[Steps, np.ndarray]:
-    """Steps towards the targets, and the targets; ``scored`` has n_tokens and posterior."""
+def solve(scored: DataFrame, weights: np.ndarray, budget: float | None = None, ridge: float = 0.02, max_rate: float = 4.0, max_steps: int = 40, tolerance: float = 1e-5, relative: bool = False) -> tuple[Pull, np.ndarray]:
+    """The pull towards the targets, and the targets; ``scored`` has n_tokens and posterior.
+
+    Steps end when no domain's condition is off by more than ``tolerance`` of its target, or of the budget where the target is none.
+    """
     table = scored.select("n_tokens", "posterior")
     k = len(weights)
 
-    def totals(steps: Steps) -> np.ndarray:
-        out = np.zeros(k)
-        for r in table.mapInArrow(_sums(steps), "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect():
-            out[r["k"]] = r["s"]
+    def sums(pulls: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(pulls), 1 + k + k * k))
+        run = _sums([Pull(tuple(x.tolist()), max_rate) for x in pulls])
+        for r in table.mapInArrow(run, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect():
+            out.flat[r["k"]] = r["s"]
         return out
 
-    has = totals(Steps((), 0.0, ridge, max_rate))
+    pull = np.zeros(k)
+    found = sums([pull])[0]
+    has = found[1 : 1 + k]
     lead = int(np.argmax(weights))
     budget = budget or (has[lead] / weights[lead] if weights[lead] > 0 else 0.0) or 1.0
-    target = budget * weights
-    # the gradient's Lipschitz constant in the metric of n_i / budget is at most all tokens / budget
-    step = 1.0 / (has.sum() / budget + ridge)
-    steps, now = Steps((), step, ridge, max_rate), has
+
+    own = ridge * (np.maximum(has / budget, 1e-9) if relative else np.ones(k))
+
+    def value(x: np.ndarray, f: np.ndarray) -> float:
+        return f[0] / budget - x @ weights - (own * x) @ x / 2
+
     for _ in range(max_steps):
-        error = tuple(((now - target) / budget).tolist())
-        steps = Steps((*steps.errors, error), step, ridge, max_rate)
-        before, now = now, totals(steps)
-        if np.abs(now - before).max() <= tolerance * budget:
+        error = found[1 : 1 + k] / budget - weights - own * pull
+        if (np.abs(error) <= tolerance * np.where(weights > 0, weights, 1)).all():
+            break
+        way = np.linalg.solve(found[1 + k :].reshape(k, k) / budget + np.diag(own), error)
+        tries = [pull + way * 4.0**-i for i in range(10)]
+        got = sums(tries)
+        values = [value(x, f) for x, f in zip(tries, got)]
+        best = int(np.argmax(values))
+        if values[best] <= value(pull, found):
             break
-    return steps, target
+        pull, found = tries[best], got[best]
+    return Pull(tuple(pull.tolist()), max_rate), budget * weights
 
 
-def _apply(steps: Steps):
+def _apply(pull: Pull):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rates = np.round(steps.rates(_matrix(batch.column(batch.num_columns - 1)))[0], 4) if batch.num_rows else np.zeros(0)
+            rates = np.round(pull.rates(_matrix(batch.column(batch.num_columns - 1))), 4) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates, pa.float64())], [*batch.schema.names, "rate"])
 
     return run
@@ -297,12 +315,13 @@ def mix(
     max_rate: float = 4.0,
     max_train: int = 20_000,
     ridge: float = 0.02,
+    relative: bool = False,
 ) -> DataFrame:
     """All input columns but the text, ``n_tokens``, ``posterior``, ``domain`` (most likely) and ``rate``.
 
     ``targets`` weighs domains by name, as ``quality=1 toxic=0``; domains
     without a weight get none. Without a budget the domain of the greatest
-    weight keeps its own expected tokens.
+    weight keeps its own expected tokens. ``relative`` weighs a domain's miss by its own size.
     """
     docs = drop_clashes(docs, ["n_tokens", "posterior", "domain", "rate"])
     keep = [c for c in docs.columns if c != text]
@@ -314,8 +333,8 @@ def mix(
     scored = materialise(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text)).mapInArrow(_score(shared), columns))
     weights = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
     if model is None or not weights.sum():
-        steps = Steps((), 0.0, ridge, max_rate)
+        pull = Pull((), max_rate)
     else:
-        steps, _ = solve(scored, weights / weights.sum(), budget, ridge, max_rate)
+        pull, _ = solve(scored, weights / weights.sum(), budget, ridge, max_rate, relative=relative)
     best = F.get(F.array(*[F.lit(d) for d in domains]), (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
-    return scored.mapInArrow(_apply(steps), columns + ", rate double").withColumn("domain", best)
+    return scored.mapInArrow(_apply(pull), columns + ", rate double").withColumn("domain", best)

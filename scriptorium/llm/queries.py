@@ -187,4 +187,4 @@ MIXTURE = {"quality=1 toxic=0": 0.95, "quality=0 toxic=0": 0.05}
 @_query("op2_soft_membership_mixing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mixing.mix(docs, table(spark, sf_dir, "labels"), MIXTURE).select("doc_id", "n_tokens", "domain", "rate")
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), MIXTURE, relative=True).select("doc_id", "n_tokens", "domain", "rate")

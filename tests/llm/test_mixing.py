@@ -56,3 +56,43 @@ def test_without_labels_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {(r.doc_id, r.n_tokens, r.rate, r.domain) for r in mixing.mix(df, none, {"toxic=0": 1.0}).collect()} == {(1, 2, 1.0, "all"), (2, 0, 1.0, "all")}
     assert mixing.mix(df.limit(0), none, {}).collect() == []
+
+
+MIXTURE = {"quality=1 toxic=0": 0.95, "quality=0 toxic=0": 0.05}
+
+
+def rare_corpus(n=3000):
+    """Documents of three domains, one rare and without a weight: (id, text, domain)."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(300)]
+    out = []
+    for i in range(n):
+        q, t = (0, 1) if i % 100 == 0 else (int(i % 6 > 0), 0)
+        w = rng.choices(words, k=rng.randint(20, 60)) + (["junk", "spam", "cheap", "win"] if q == 0 else ["sound", "fine", "clear", "good"]) + (["nasty", "vile", "foul", "grim"] if t else ["mild", "kind", "calm", "warm"])
+        rng.shuffle(w)
+        out.append((i, " ".join(w), f"quality={q} toxic={t}"))
+    return out
+
+
+def rare_tables(spark):
+    docs = rare_corpus()
+    df = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string").repartition(4)
+    lab = spark.createDataFrame([(i, int(d[8]), int(d[-1])) for i, _, d in docs if i % 2 == 0], "doc_id long, quality int, toxic int")
+    return {i: (d, len(t.split())) for i, t, d in docs}, df, lab
+
+
+def test_rare_domain_without_weight_goes_and_totals_reach_the_targets(spark, monkeypatch):
+    from scriptorium.llm import queries
+
+    domain, df, lab = rare_tables(spark)
+    monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name: {"documents": df, "labels": lab}[name])
+    rows = queries.op2(spark, "").collect()
+    has, total = {}, {}
+    for r in rows:
+        d, n = domain[r.doc_id]
+        has[d] = has.get(d, 0) + n
+        total[d] = total.get(d, 0) + n * r.rate
+    budget = has["quality=1 toxic=0"] / 0.95
+    assert 0 < has["quality=0 toxic=1"] / budget < 0.02
+    for d in has:
+        assert abs(total[d] / budget - MIXTURE.get(d, 0)) < 0.003, (d, total[d] / budget)
