@@ -48,14 +48,17 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stays if its rate, at most one, rounds to one.
+    """Each document stays with the odds of its rate, at most one; those whose likely domain has no weight go.
 
-    Rounding to the nearest, not drawing, keeps every document that the mixture
-    wants nearly whole.
+    A digest of the id stands for the draw, so a rerun keeps the same documents.
+    Without labels all stay.
     """
     carried = docs.select(*COLUMNS, F.col("text").alias("__text"))
-    out = mixing.mix(carried.withColumnRenamed("text", "body").withColumnRenamed("__text", "text"), table(spark, sf_dir, "labels"), MIXTURE, max_rate=1.0)
-    return out.where("rate >= 0.5").withColumnRenamed("body", "text").select(*COLUMNS)
+    out = mixing.mix(carried.withColumnRenamed("text", "body").withColumnRenamed("__text", "text"), table(spark, sf_dir, "labels"), MIXTURE, max_rate=1.0, relative=True)
+    wanted = F.col("domain").isin("all", *[d for d, w in MIXTURE.items() if w > 0])
+    digest = F.md5(F.concat(F.lit("mixing:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32
+    return out.where(wanted & (draw < F.col("rate"))).withColumnRenamed("body", "text").select(*COLUMNS)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,22 @@ def test_stages_take_effect_in_order(spark):
     assert len(ids[4] & toxic) < len(ids[3] & toxic) or not ids[3] & toxic
     last = seen[-1].collect()
     assert len(last) == len(ids[4]) and {r.shard for r in last} <= set(range(40))
+
+
+def test_mixing_stage_keeps_tokens_as_the_mixture_says(spark, tmp_path):
+    import corpus_pipeline as cp
+    from scriptorium.llm.queries import MIXTURE
+
+    from .test_mixing import rare_tables
+
+    domain, df, lab = rare_tables(spark)
+    lab.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = df.selectExpr("doc_id", "text", "'en' AS lang", "'x' AS source", "length(text) AS n_chars")
+    kept = [r.doc_id for r in cp.mixing_stage(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept) == sorted(r.doc_id for r in cp.mixing_stage(spark, docs.repartition(3), str(tmp_path)).collect())
+    count = lambda ids: {d: sum(domain[i][1] for i in ids if domain[i][0] == d) for d, _ in domain.values()}
+    has, got = count(domain), count(kept)
+    budget = has["quality=1 toxic=0"] / MIXTURE["quality=1 toxic=0"]
+    assert 0 < has["quality=0 toxic=1"] / budget < 0.02 and got["quality=0 toxic=1"] == 0
+    for d in has:
+        assert abs(got[d] / budget - MIXTURE.get(d, 0)) < 0.01, (d, got[d] / budget)
