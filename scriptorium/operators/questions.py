@@ -20,9 +20,48 @@ ALIASES = (
     ("BE", "Bachelor of Engineering"),
     ("LLB", "Bachelor of Laws"),
     ("PHD", "Doctor of Philosophy"),
+    ("BALLB", "Bachelor of Arts and Bachelor of Laws"),
+    ("BLIS", "Bachelor of Library and Information Science"),
+    ("MLIS", "Master of Library and Information Science"),
+    ("BARCH", "Bachelor of Architecture"),
+    ("MARCH", "Master of Architecture"),
+    ("MPLAN", "Master of Planning"),
+    ("MBBS", "Bachelor of Medicine and Bachelor of Surgery"),
+    ("BUMS", "Kamil-e-Tib-o-Jarahat (Bachelor of Unani Medicine and Surgery)"),
+    ("BVOC", "Bachelor of Vocation"),
+    ("BPHARM", "Bachelor of Pharmacy"),
+    ("MPHARM", "Master of Pharmacy"),
+    ("PGDCP", "Post Graduate Diploma in Computer Programming"),
+    ("PGD", "Post Graduate Diploma"),
+    ("SSSC", "Senior Secondary School Certificate"),
+    ("BPED", "Bachelor of Physical Education"),
+    ("MPED", "Master of Physical Education"),
+    ("BCOM", "Bachelor of Commerce"),
+    ("MCOM", "Master of Commerce"),
+    ("BBA", "Bachelor of Business Administration"),
+    ("BDS", "Bachelor of Dental Surgery"),
+    ("BPT", "Bachelor of Physiotherapy"),
+    ("MED", "Master of Education"),
+    ("LLM", "Master of Laws"),
+    ("MSW", "Master of Social Work"),
+    ("MPH", "Master of Public Health"),
+    ("BVA", "Bachelor of Visual Arts"),
+    ("MVA", "Master of Visual Arts"),
 )
-#: Abbreviations that are words too, and so count only in capitals or with separators. Fixed values.
-WORD_LIKE = ("BE", "MA", "BA", "BED")
+#: Further spellings, as segments of letters. Fixed values.
+SPELLINGS = {
+    "BLIS": (("B", "Lib", "I", "Sc"), ("B", "Lib")),
+    "MLIS": (("M", "Lib", "I", "Sc"), ("M", "Lib")),
+    "MARCH": (("M", "Arch"),),
+    "MPLAN": (("M", "Plan"),),
+    "PGD": (("P", "G", "Diploma"), ("P", "G", "Dip")),
+    "BED": (("B", "Ed"),),
+    "MED": (("M", "Ed"),),
+}
+#: Keys that name where a passage comes from, not a fact in it. Fixed values.
+CONTEXT_KEYS = ("course", "expanded course name", "faculty", "programme level", "record type", "field", "table", "table row")
+#: Abbreviations that are words too, and so count only in capitals, in the case of their segments, or with a dot. Fixed values.
+WORD_LIKE = ("BE", "MA", "BA", "BED", "MED", "MARCH", "MPLAN")
 # Intent, pattern, preferred fields.
 INTENTS = (
     ("fees", "\\b(?:fees?|cost|charges?|tuition)\\b", ("fee_summary",)),
@@ -31,19 +70,24 @@ INTENTS = (
     ("eligibility", "\\b(?:eligib\\w*|qualif\\w*|require\\w*|criteria)\\b", ()),
     ("duration", "\\b(?:duration|how long|years?|semesters?)\\b", ()),
     ("intake", "\\b(?:intake|seats?|capacity)\\b", ()),
+    ("age_limit", "\\b(?:ages?|older|younger|how old)\\b", ("age_limit",)),
+    ("selection", "\\b(?:selection|selected|admission process|merit list)\\b", ("selection_process",)),
+    ("test_centres", "\\b(?:tests?|exams?)\\s+(?:cent(?:re|er)|location)s?\\b", ("test_centres",)),
+    ("test_paper", "\\b(?:syllabus|(?:test|exam) pattern|(?:test|exam|paper)\\s+(?:questions?|marks?)|(?:questions?|marks?)\\s+(?:in|on)\\s+(?:the\\s+)?(?:test|exam|paper))\\b", ("test_paper_details",)),
     ("documents", "\\b(?:documents?|certificates?|marksheets?)\\b", ()),
     ("apply", "\\b(?:apply|application|form|register)\\b", ("application_summary",)),
 )
 
 
 def alias_pattern(abbreviation: str) -> str:
-    """Letters with spaces, dots, hyphens or underscores between; a trailing dot belongs to it."""
-    loose = "[ ._-]*".join(abbreviation)
-    firm = "[ ._-]+".join(abbreviation)
+    """Letters or segments with spaces, dots, hyphens or underscores between; a trailing dot belongs to it."""
+    spellings = SPELLINGS.get(abbreviation, ())
     if abbreviation in WORD_LIKE:
-        body = f"(?:{abbreviation}|(?i:{firm}))"
+        first, *rest = spellings[0] if spellings else abbreviation
+        dotted = f"{first}[ _-]*\\.[ ._-]*" + "[ ._-]*".join(rest)
+        body = f"(?:{abbreviation}|{first} *{' *'.join(rest)}|(?i:{dotted}))"
     else:
-        body = f"(?i:{loose})"
+        body = "(?i:" + "|".join("[ ._-]*".join(form) for form in (*spellings, abbreviation)) + ")"
     return f"(?U)(?<!\\w){body}(?!\\w)\\.?"
 
 
@@ -75,13 +119,13 @@ def unknown_abbreviations(texts: DataFrame, text: str, known: list[str]) -> Data
     return found.select(F.replace("a", F.lit("."), F.lit("")).alias("abbreviation")).where(~F.col("abbreviation").isin(known)).distinct()
 
 
-def exact_value(question: Column, passage: Column, skipped: tuple[str, ...] = ()) -> Column:
-    """Whether the value of any ``key: value`` line of the passage stands in the question."""
+def exact_value(question: Column, passage: Column, skipped: tuple[str, ...] = CONTEXT_KEYS) -> Column:
+    """Whether the value of any ``key: value`` line of the passage, but for skipped keys, stands in the question."""
     norm = lambda c: F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)), " "), F.lit(" "))
     q = norm(question)
 
     def hit(line):
-        key = F.lower(F.trim(F.substring_index(line, ":", 1)))
+        key = F.trim(norm(F.substring_index(line, ":", 1)))
         value = F.trim(norm(F.substr(line, F.instr(line, ":") + 1)))
         named = ~key.isin(*skipped) if skipped else F.lit(True)
         return (F.instr(line, ":") > 0) & named & (F.length(value) > 0) & (F.instr(q, value) > 0)

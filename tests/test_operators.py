@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import vectors
-from scriptorium.operators import layout, ranking
+from scriptorium.operators import layout, questions, ranking
 from scriptorium.sources import corpus
 from scriptorium.streaming import reviews
 
@@ -48,3 +48,23 @@ def test_review_stream_keeps_the_last_decision(spark, tmp_path):
 
     assert arrive("1.json", ("a", "approved", "2026-01-02T00:00:00"), ("b", "rejected", "2026-01-01T00:00:00")) == {"a": "approved", "b": "rejected"}
     assert arrive("2.json", ("a", "rejected", "2026-01-01T00:00:00"), ("b", "approved", "2026-01-03T00:00:00")) == {"a": "approved", "b": "approved"}
+
+
+def test_aliases_intents_and_context_keys_are_whole(spark):
+    assert len(questions.ALIASES) == 40 and len(questions.WORD_LIKE) == 7
+    cases = {
+        "BALLB fees": "Bachelor of Arts and Bachelor of Laws fees",
+        "B.Lib.I.Sc. and m lib seats": "Bachelor of Library and Information Science and Master of Library and Information Science seats",
+        "P.G. Diploma, PGDCP": "Post Graduate Diploma, Post Graduate Diploma in Computer Programming",
+        "M.Arch. or MEd or b.ed now": "Master of Architecture or Master of Education or Bachelor of Education now",
+        "a bed in march, ma plan": "a bed in march, ma plan",
+    }
+    df = spark.createDataFrame(list(cases.items()), "q string, want string")
+    for r in df.select("want", questions.expand(F.col("q")).alias("got")).collect():
+        assert r.got == r.want
+    asked = spark.createDataFrame([("What age must I be?", "age_limit"), ("the selection process", "selection"), ("exam centres in town", "test_centres"), ("syllabus", "test_paper")], "q string, want string")
+    for r in asked.select("want", questions.intents(F.col("q")).alias("got")).collect():
+        assert r.want in r.got
+    lines = spark.createDataFrame([("science seats", "Faculty: Science", False), ("science seats", "Subject: Science", True)], "q string, p string, want boolean")
+    for r in lines.select("want", questions.exact_value(F.col("q"), F.col("p")).alias("got")).collect():
+        assert r.got == r.want
