@@ -103,12 +103,17 @@ def top(fused: DataFrame, limit: int, score: str = "fused") -> DataFrame:
     return fused.withColumn("place", F.row_number().over(by)).where(F.col("place") <= limit)
 
 
-def sparse_features(docs: DataFrame, id_col: str, text: str, dims: int = 1024) -> DataFrame:
-    """Hashed words and adjacent pairs as (id, bucket, weight); md5 stands in for a keyed hash."""
+def sparse_features(docs: DataFrame, id_col: str, text: str, dims: int = 1024, trigrams: bool = False) -> DataFrame:
+    """Hashed words, adjacent pairs and, if asked for, character trigrams as (id, bucket, weight); md5 stands in for a keyed hash."""
     w = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text)).alias("w"))
     words = w.select("id", F.explode("w").alias("x")).select("id", F.concat(F.lit("w:"), "x").alias("name"), F.lit(1.0).alias("weight"))
     pairs = w.where(F.size("w") > 1).select("id", F.explode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b"))).alias("p"))
     pairs = pairs.select("id", F.concat(F.lit("b:"), "p.a", F.lit("_"), "p.b").alias("name"), F.lit(1.25).alias("weight"))
+    named = words.union(pairs)
+    if trigrams:
+        joined = w.select("id", F.array_join("w", "_").alias("s")).where(F.length("s") > 2)
+        parts = joined.select("id", "s", F.explode(F.expr("sequence(1, length(s) - 2)")).alias("i"))
+        named = named.union(parts.select("id", F.concat(F.lit("c:"), F.expr("substring(s, i, 3)")), F.lit(0.2)))
     h = F.conv(F.substring(F.md5("name"), 1, 8), 16, 10).cast("long")
     signed = F.when(h.bitwiseAND(1) == 0, F.col("weight")).otherwise(-F.col("weight"))
-    return words.union(pairs).groupBy("id", (F.shiftright(h, 1) % dims).cast("int").alias("bucket")).agg(F.round(F.sum(signed), 6).alias("weight"))
+    return named.groupBy("id", (F.shiftright(h, 1) % dims).cast("int").alias("bucket")).agg(F.round(F.sum(signed), 6).alias("weight"))

@@ -130,27 +130,55 @@ def hash_features_sparse(spark, sf):
     return R.sparse_features(_docs(spark, sf), "doc_id", "text")
 
 
+_TRIGRAMS = """nm AS (SELECT id, 'w:' || term AS name, 1.0 AS weight FROM (SELECT id, unnest(w) AS term FROM d)
+ UNION ALL SELECT id, 'b:' || w[i] || '_' || w[i + 1], 1.25 FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM d)
+ UNION ALL SELECT id, 'c:' || substr(s, i, 3), 0.2 FROM (SELECT id, s, unnest(range(1, length(s) - 1)) AS i FROM (SELECT id, array_to_string(w, '_') AS s FROM d))),
+hx AS (SELECT id, weight, CAST(concat('0x', substr(md5(name), 1, 8)) AS BIGINT) AS h FROM nm)"""
+
+
+@query("hash_features_trigrams", f"WITH {_TF}, {_TRIGRAMS} SELECT id, CAST((h >> 1) % 1024 AS INTEGER) AS bucket, round(sum(CASE WHEN h & 1 = 0 THEN weight ELSE -weight END)::DOUBLE, 6) AS weight FROM hx GROUP BY 1, 2")
+def hash_features_trigrams(spark, sf):
+    return R.sparse_features(_docs(spark, sf), "doc_id", "text", trigrams=True)
+
+
 @query("hash_embedding")
 def hash_embedding(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", T.tokens(F.col("text")).alias("w"))
     return b.select("item_id", V.hash_embedding(1024)("w").alias("v"))
 
 
-@query("ngram_features", f"""WITH b AS (SELECT item_id, {T.tokens_sql('text')} AS w FROM benchmark),
+@query("hash_embedding_documents")
+def hash_embedding_documents(spark, sf):
+    return _docs(spark, sf).select("doc_id", V.hash_embedding(1024)(T.tokens(F.col("text"))).alias("v"))
+
+
+_NGRAMS = f"""WITH b AS (SELECT item_id, {T.tokens_sql('text')} AS w FROM benchmark),
 j AS (SELECT item_id, w, array_to_string(w, '_') AS s FROM b)
 SELECT item_id, CAST(greatest(len(w) - 1, 0) AS BIGINT) AS pairs, CAST(greatest(length(s) - 2, 0) AS BIGINT) AS trigrams,
- md5(array_to_string(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]), ' ')) AS pair_digest FROM j""")
-def ngram_features(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", T.tokens(F.col("text")).alias("w"))
+ md5(array_to_string(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]), ' ')) AS pair_digest FROM j"""
+
+
+def _ngrams(rows: DataFrame, id_col: str) -> DataFrame:
+    b = rows.select(id_col, T.tokens(F.col("text")).alias("w"))
     pairs = F.zip_with(F.expr("slice(w, 1, greatest(size(w) - 1, 0))"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))"), lambda a, c: F.concat(a, F.lit("_"), c))
     return b.select(
-        "item_id",
+        id_col,
         F.greatest(F.size("w") - 1, F.lit(0)).cast("long").alias("pairs"),
         F.greatest(F.length(F.array_join("w", "_")) - 2, F.lit(0)).cast("long").alias("trigrams"),
         F.md5(F.array_join(pairs, " ")).alias("pair_digest"),
     )
 
 
+@query("ngram_features", _NGRAMS)
+def ngram_features(spark, sf):
+    return _ngrams(table(spark, sf, "benchmark"), "item_id")
+
+
+@query("ngram_features_documents", _NGRAMS.replace("item_id", "doc_id").replace("benchmark", "documents"))
+def ngram_features_documents(spark, sf):
+    return _ngrams(_docs(spark, sf), "doc_id")
+
+
 # two rankings of the documents: BM25, and overlap of hashed features with the question
 _QH = f"""qh AS (SELECT item_id AS query_id, CAST((h >> 1) % 1024 AS INTEGER) AS bucket, sum(CASE WHEN h & 1 = 0 THEN weight ELSE -weight END)::DOUBLE AS qw FROM (
  SELECT item_id, weight, CAST(concat('0x', substr(md5(name), 1, 8)) AS BIGINT) AS h FROM (
@@ -165,9 +193,9 @@ fu AS (SELECT query_id, id, lr.rank AS lrank, vr.rank AS vrank, lr.score AS lsco
 _FUSED = f"WITH {_TF}, {_LR}, {_HASH}, {_QH}"
 
 
-def _hash_scores(spark: SparkSession, sf: str) -> DataFrame:
-    d = R.sparse_features(_docs(spark, sf), "doc_id", "text")
-    q = R.sparse_features(table(spark, sf, "benchmark"), "item_id", "text").toDF("query_id", "bucket", "qw")
+def _hash_scores(spark: SparkSession, sf: str, trigrams: bool = False) -> DataFrame:
+    d = R.sparse_features(_docs(spark, sf), "doc_id", "text", trigrams=trigrams)
+    q = R.sparse_features(table(spark, sf, "benchmark"), "item_id", "text", trigrams=trigrams).toDF("query_id", "bucket", "qw")
     nd = d.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("nd"))
     nq = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("nq"))
     both = d.join(R.small(q), "bucket").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("qw")).alias("s"))
@@ -191,6 +219,19 @@ def hybrid_topk(spark, sf):
     return R.top(_fused(spark, sf), 5).select("query_id", "id", "place")
 
 
+# the same with trigrams on both sides
+_QH_TRIGRAMS = _QH.replace(
+    "FROM benchmark)))) GROUP",
+    f"FROM benchmark)) UNION ALL SELECT item_id, 'c:' || substr(s, i, 3), 0.2 FROM (SELECT item_id, s, unnest(range(1, length(s) - 1)) AS i FROM (SELECT item_id, array_to_string({T.tokens_sql('text')}, '_') AS s FROM benchmark)))) GROUP",
+)
+
+
+@query("hybrid_trigrams_topk", f"WITH {_TF}, {_LR}, {_TRIGRAMS}, {_QH_TRIGRAMS} SELECT query_id, id, {_ORDER.format('fused')} AS place FROM fu QUALIFY place <= 5")
+def hybrid_trigrams_topk(spark, sf):
+    fused = R.fuse(R.ranked(_bm25(spark, sf), 40), R.ranked(_hash_scores(spark, sf, trigrams=True), 40))
+    return R.top(fused, 5).select("query_id", "id", "place")
+
+
 @query("rrf_topk", f"{_FUSED} SELECT query_id, id, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) AS place FROM fu QUALIFY place <= 10")
 def rrf_topk(spark, sf):
     by = Window.partitionBy("query_id").orderBy(F.col("fused").desc(), "id")

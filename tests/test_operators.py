@@ -68,3 +68,15 @@ def test_aliases_intents_and_context_keys_are_whole(spark):
     lines = spark.createDataFrame([("science seats", "Faculty: Science", False), ("science seats", "Subject: Science", True)], "q string, p string, want boolean")
     for r in lines.select("want", questions.exact_value(F.col("q"), F.col("p")).alias("got")).collect():
         assert r.got == r.want
+
+
+def test_trigrams_join_words_that_share_parts_only(spark):
+    df = spark.createDataFrame([(1, "admission"), (2, "admissions"), (3, None)], "doc_id long, text string")
+
+    def shared(**how):
+        rows = ranking.sparse_features(df, "doc_id", "text", **how).collect()
+        a, b = ({r.bucket: r.weight for r in rows if r.id == i and r.weight} for i in (1, 2))
+        return sum(a[k] * b[k] for k in a.keys() & b.keys())
+
+    assert shared() == 0
+    assert shared(trigrams=True) > 0.2
