@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import glob
+import os
 import zlib
 
 import numpy as np
@@ -31,12 +32,45 @@ def test_round_trip_against_the_library(spark, tmp_path):
         at += r.n_tokens
         options = {zlib.crc32(np.array(t.encode(x, add_special_tokens=False).ids + [0], "<u4").tobytes()) for x in texts[r.doc_id]}
         assert r.ids_crc32 in options
-    for f in glob.glob(str(tmp_path / "t" / "part-*")):
-        ids, offsets, docs, _ = tokens.open_file(f)
+    names = [os.path.basename(f) for f in glob.glob(str(tmp_path / "t" / "kind=ids" / "part-*"))]
+    assert len(names) == 3 and {r.file for r in rows} == set(names)
+    for name in names:
+        ids, offsets, docs, _ = tokens.open_range(str(tmp_path / "t"), name)
+        assert ids.dtype == np.uint16 and os.path.getsize(tmp_path / "t" / "kind=ids" / name) == 2 * len(ids)
+        assert os.path.getsize(tmp_path / "t" / "kind=offsets" / name) == 8 * len(offsets)
         assert offsets[-1] == len(ids) and len(docs) + 1 == len(offsets)
         assert all(ids[int(o) - 1] == 0 for o in offsets[1:])
 
 
+def test_files_that_only_spark_reads_give_the_same_index(spark, tmp_path):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.tokens.link./in", f"file://{tmp_path}")
+    df = spark.createDataFrame([(i if i else None, x) for i, x in enumerate(TEXTS)], "doc_id long, text string")
+    mapped = tokens.encode_corpus(df, PATH, str(tmp_path / "t"), files=4)
+    sent = tokens.read_index(spark, "viewfs://tokens/in/t")
+    key = lambda r: (r.start, r.doc_id, r.n_tokens, r.ids_crc32)
+    assert sorted(map(key, sent.collect()), key=str) == sorted(map(key, mapped.collect()), key=str)
+    assert min(mapped.collect(), key=lambda r: r.start).doc_id is None
+
+
+def test_wide_ids_round_trip(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "id_dtype", lambda path: "<u4")
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(TEXTS)], "doc_id long, text string")
+    wide = {r.doc_id: r.ids_crc32 for r in tokens.encode_corpus(df, PATH, str(tmp_path / "w"), files=2).collect()}
+    monkeypatch.undo()
+    assert wide == {r.doc_id: r.ids_crc32 for r in tokens.encode_corpus(df, PATH, str(tmp_path / "n"), files=3).collect()}
+
+
+def test_long_texts_are_encoded_in_pieces(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    monkeypatch.setattr(tokens, "_PIECE", 3000)
+    monkeypatch.setattr(tokens, "_BLOCK", 1000)
+    text = ("naïve  café\n\nit's, 12 " * 2000) + "x" * 20_000 + " " * 9000 + "end"
+    assert np.frombuffer(tokens.ChunkEncoder(PATH, "<u2").encode([text, "a"])[0], "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_chunks_give_the_ids_of_whole_texts():
     import random
 
