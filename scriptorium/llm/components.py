@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import discard, materialise
 
 
 def _least(sym: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = materialise(edges.where("u <> v").distinct())
     last = None
     for _ in range(max_rounds):
-        edges = materialise(_small_star(_large_star(edges)))
+        before, edges = edges, materialise(_small_star(_large_star(edges)))
+        discard(before)
         mark = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if mark == last:
             break

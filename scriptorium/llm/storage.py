@@ -2,13 +2,17 @@
 
 Intermediate tables go to the folder that the cluster names in
 ``spark.checkpoint.dir``, so any executor can read what another wrote and a
-lost executor costs a re-read only. Where the setting is missing (tests on one
-machine) a temporary folder of this process is used.
+lost executor costs a re-read only. All scratch of an application lies in one
+folder, which ``clear`` removes; ``discard`` removes a table as soon as what was
+made from it is written. Where the setting is missing and the session runs
+inside one process (tests) a temporary folder of this process is used; a
+cluster without the setting is an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,16 +22,23 @@ from pyspark.sql import DataFrame, SparkSession
 _local: str | None = None
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name below ``spark.checkpoint.dir``."""
+def _application_dir(spark: SparkSession) -> str:
     global _local
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if _local is None:
             _local = tempfile.mkdtemp(prefix="scriptorium-")
             atexit.register(shutil.rmtree, _local, ignore_errors=True)
         base = f"file://{_local}"
-    return f"{base.rstrip('/')}/scriptorium-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/scriptorium-{context.applicationId}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh folder name below ``spark.checkpoint.dir``."""
+    return f"{_application_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
@@ -38,7 +49,20 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of materialised tables that nothing still to be run will read."""
+    for t in tables:
+        delete(t.sparkSession, t._scratch)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all scratch of this application; results that were not written elsewhere go with it."""
+    delete(spark, _application_dir(spark))
 
 
 def delete(spark: SparkSession, path: str) -> None:
