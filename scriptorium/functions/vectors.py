@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -26,22 +28,35 @@ def unit(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
+#: Feature prefixes, their weights and the sign rule are fixed values of the stored vectors.
+WORD, PAIR, TRIGRAM = ("w:", 1.0), ("b:", 1.25), ("c:", 0.2)
+_KNOWN = 200_000
+
+
 def _features(tokens: list[str]) -> Iterator[tuple[str, float]]:
     for t in tokens:
-        yield "w:" + t, 1.0
-    for a, b in zip(tokens, tokens[1:]):
-        yield f"b:{a}_{b}", 1.25
+        yield WORD[0] + t, WORD[1]
+    for a, b in pairwise(tokens):
+        yield f"{PAIR[0]}{a}_{b}", PAIR[1]
     joined = "_".join(tokens)
     for i in range(len(joined) - 2):
-        yield "c:" + joined[i : i + 3], 0.2
+        yield TRIGRAM[0] + joined[i : i + 3], TRIGRAM[1]
+
+
+@lru_cache(_KNOWN)
+def _value(name: str) -> int:
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
 
 
 def hash_vector(tokens: list[str], dims: int = 1024) -> np.ndarray:
-    """Signed hashed features of a token list, scaled to length one."""
-    out = np.zeros(dims, np.float64)
-    for name, weight in _features(tokens):
-        v = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
-        out[v % dims] += weight if v >> 63 == 0 else -weight
+    """Signed hashed features of a token list, scaled to length one; bit 63 set means plus."""
+    found = list(_features(tokens))
+    if not found:
+        return np.zeros(dims, np.float32)
+    values = np.array([_value(name) for name, _ in found], np.uint64)
+    weights = np.array([w for _, w in found])
+    signed = np.where(values >> np.uint64(63) == 1, weights, -weights)
+    out = np.bincount((values % np.uint64(dims)).astype(np.int64), signed, dims)
     n = np.linalg.norm(out)
     return (out / n if n else out).astype(np.float32)
 
@@ -56,3 +71,24 @@ def hash_embedding(dims: int = 1024):
         return tokens.map(lambda t: hash_vector(list(t) if t is not None else [], dims))
 
     return embed
+
+
+def hash_features(dims: int = 1024):
+    """The entries of ``hash_embedding`` that are not zero, as (bucket, weight): what an exact scan joins on."""
+    if dims < 64:
+        raise ValueError("dims must be at least 64")
+
+    def entries(tokens) -> list[dict]:
+        v = hash_vector(list(tokens) if tokens is not None else [], dims)
+        return [{"bucket": int(i), "weight": float(v[i])} for i in np.flatnonzero(v)]
+
+    @F.pandas_udf("array<struct<bucket:int,weight:double>>")
+    def features(tokens: pd.Series) -> pd.Series:
+        return tokens.map(entries)
+
+    return features
+
+
+def vector_literal(v: Column) -> Column:
+    """``[a,b,...]`` with nine significant digits, as stores of vectors read it; a null vector stays null."""
+    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.9g", x.cast("double"))), ","), F.lit("]"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pytest
@@ -80,3 +81,23 @@ def test_trigrams_join_words_that_share_parts_only(spark):
 
     assert shared() == 0
     assert shared(trigrams=True) > 0.2
+
+
+def test_hash_vectors_have_the_sign_of_the_top_bit():
+    # bucket of 64 and sign of each feature of "fee due", worked out by hand from its digest
+    features = {}
+    for name, weight in [("w:fee", 1.0), ("w:due", 1.0), ("b:fee_due", 1.25), *[(f"c:{t}", 0.2) for t in ("fee", "ee_", "e_d", "_du", "due")]]:
+        digest = hashlib.blake2b(name.encode(), digest_size=8).digest()
+        bucket = digest[0] % 64
+        features[bucket] = features.get(bucket, 0) + (weight if digest[7] >= 128 else -weight)
+    got = vectors.hash_vector(["fee", "due"], 64)
+    norm = sum(x * x for x in features.values()) ** 0.5
+    assert all(abs(got[i] - features.get(i, 0) / norm) < 1e-6 for i in range(64))
+    assert vectors.hash_vector(["fee"], 64)[19] > 0.9 and vectors.hash_vector([], 64).tolist() == [0.0] * 64
+
+
+def test_vector_literals_and_sparse_features_agree_with_vectors(spark):
+    df = spark.createDataFrame([(["fee", "due"], [0.5, -1.25e-7, 1.0]), (None, None)], "w array<string>, v array<double>")
+    one, none = df.select(vectors.hash_features(64)("w").alias("f"), vectors.hash_embedding(64)("w").alias("e"), vectors.vector_literal(F.col("v")).alias("s")).collect()
+    assert {x.bucket: x.weight for x in one.f} == {i: x for i, x in enumerate(one.e) if x} and one.s == "[0.500000000,-1.25000000e-07,1.00000000]"
+    assert none.f == [] and none.s is None
