@@ -103,6 +103,52 @@ def aliases_in(question: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.rlike(question, F.lit(alias_pattern(short))), F.lit(short)) for short, _ in ALIASES]))
 
 
+def _longest_first() -> list[tuple[str, str]]:
+    return sorted(ALIASES, key=lambda a: (-len(a[0]), a[0]))
+
+
+def alias_spans(question: Column) -> Column:
+    """Matches from the left, longer abbreviations first, that don't overlap: array of (start, end, text, abbreviation, full_name)."""
+    order = _longest_first()
+    every = "|".join(f"(?:{alias_pattern(a)})" for a, _ in order)
+    pieces, found = F.split(question, every, -1), F.regexp_extract_all(question, F.lit(every), F.lit(0))
+    short = lambda m: F.coalesce(*[F.when(F.rlike(m, F.lit(f"^(?:{alias_pattern(a)})$")), F.lit(a)) for a, _ in order])
+    full = F.create_map(*[F.lit(x) for kv in ALIASES for x in kv])
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        b = a["at"] + F.length(x["p"])
+        e = b + F.length(x["m"])
+        return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(b.alias("start"), e.alias("end"), x["m"].alias("text")))).alias("out"))
+
+    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    placed = F.aggregate(pairs, start, step, lambda a: a["out"])
+    named = F.transform(placed, lambda x: F.struct(x["start"], x["end"], x["text"], short(x["text"]).alias("abbreviation")))
+    return F.transform(named, lambda x: F.struct(x["start"], x["end"], x["text"], x["abbreviation"], F.try_element_at(full, x["abbreviation"]).alias("full_name")))
+
+
+def title_names(title: Column) -> Column:
+    """Full names of the longest abbreviations that a title holds, each once."""
+    found = F.array_compact(F.array(*[F.when(F.rlike(title, F.lit(alias_pattern(a))), F.struct(F.lit(len(a)).alias("n"), F.lit(full).alias("name"))) for a, full in ALIASES]))
+    most = F.array_max(F.transform(found, lambda x: x["n"]))
+    return F.array_distinct(F.transform(F.filter(found, lambda x: x["n"] == most), lambda x: x["name"]))
+
+
+#: Runs of capitals, and dotted groups of letters, that look like abbreviations. Fixed value.
+CANDIDATE = "(?U)(?<![\\w.])(?:[A-Z][A-Za-z]{0,3}\\.\\s?)+[A-Z][A-Za-z]{0,3}\\.?(?!\\w)|\\b[A-Z]{3,}\\b"
+#: Subjects that look like abbreviations. Fixed value.
+SUBJECTS = ("GIS",)
+
+
+def uncovered_abbreviations(text: Column) -> Column:
+    """What looks like an abbreviation of a course in a text and lies outside all known ones; in order, repeats included."""
+    rest = text
+    for short, _ in _longest_first():
+        rest = F.regexp_replace(rest, alias_pattern(short), "·")
+    found = F.transform(F.regexp_extract_all(rest, F.lit(CANDIDATE), F.lit(0)), lambda x: F.trim(x))
+    return F.filter(found, lambda x: ~x.isin(*SUBJECTS))
+
+
 def intents(question: Column) -> Column:
     found = F.array_compact(F.array(*[F.when(F.rlike(question, F.lit("(?i)" + p)), F.lit(n)) for n, p, _ in INTENTS]))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("general")))
