@@ -20,6 +20,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: str | None = None
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 
 
 def _application_dir(spark: SparkSession) -> str:
@@ -42,13 +44,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back."""
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    Python functions see ``BATCH_ROWS`` texts at a time meanwhile, which bounds
+    what a task holds on both sides of the pipe.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
