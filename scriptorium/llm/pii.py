@@ -3,22 +3,28 @@
 Base patterns find e-mail and IP addresses, card and phone numbers; these are
 the seeds. The two words before a seed are a lexical pattern. Patterns and the
 identifier-like tokens behind them form a bipartite graph, counted over all
-documents; rounds of scoring pass belief from instances to patterns (the share
-of a pattern's occurrences, whatever follows it, that is believed) and back.
-Patterns with enough distinct seeds and a high share mark the unseen tokens
-that they introduce.
+documents. Each round takes the patterns that introduce enough distinct seeds,
+scores each by the share of all its occurrences, whatever follows, that is
+believed, and lets the patterns of high confidence pass belief to their other
+tokens; tokens believed in one round are seeds of the next, so patterns spread
+to contexts that no base kind shares. The last round's patterns mark the unseen
+tokens that they introduce.
 
 The first pass reads the texts once and keeps spans and tokens of the few texts
-with a digit or an at sign. The second counts how often the patterns with
-enough seeds occur; their hashes are broadcast in slices of fixed size, one
-pass for each slice. Scoring is joins and sums over the graph, which never
-leaves the executors.
+with a digit or an at sign. The second counts how often the patterns that could
+qualify occur; a bitmap of their hashes, of checked size, drops other pairs of
+words, and a join drops what slips through. Scoring is joins and sums over the
+graph, which never leaves the executors. Rows carry a number of their own, so
+neither copies nor rows without tokens meet in one task.
 
 All regular expressions run in time linear in the text: a match can only start
 at the start of a run of its first class, or where the last match ended.
 
 Defined results: null or empty texts have no spans; repeated rows get equal
-results; equal tokens are one instance; an empty table gives an empty result.
+results; equal tokens are one instance; of equally strong kinds the one listed
+first names a pattern; a very long text is searched whole; an empty table gives
+an empty result. Input columns may have any name; those that carry the name of
+a result are replaced.
 """
 
 from __future__ import annotations
@@ -33,8 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
+from .marks import bits_for, marked, marks
 from .storage import materialise
-from .text import drop_clashes
+from .text import inner_name, shielded
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -43,7 +50,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _EDGE = "\"'()[]{}<>.,;:!?*#$%&|"
-_SLICE = 4_000_000
 CANDIDATES = "array<struct<pattern:bigint,instance:bigint,kind:string,start:int,end:int>>"
 
 
@@ -149,94 +155,101 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _count_patterns(wanted):
+def _count_patterns(bits: int, bitmap):
+    """Occurrences of the pairs of words whose slot is set, summed over each block of texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = wanted.value
-        total = np.zeros(len(known), np.int64)
         for batch in batches:
             for _, _, data, offsets in wh.text_blocks(batch.column(0)):
                 starts, ends, fw = wh.words_in(data, offsets)
-                two = wh.window_hashes(wh.word_hashes(wh.lower(data), starts, ends), 2).view(np.int64)
+                two = wh.window_hashes(wh.word_hashes(wh.lower(data), starts, ends), 2)
                 inner = np.ones(len(two), bool)
                 inner[fw[(fw > 0) & (fw <= len(two))] - 1] = False  # over the edge of two texts
                 two = two[inner]
-                at = np.searchsorted(known, two)
-                at[at == len(known)] = 0
-                total += np.bincount(at[known[at] == two], minlength=len(known))
-        some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(known[some]), pa.array(total[some])], ["pattern", "total"])
+                two = two[marked(bitmap.value, (two >> wh.U(64 - bits)).astype(np.int64))]
+                found, n = np.unique(two, return_counts=True)
+                yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["pattern", "total"])
 
     return run
 
 
 def _totals(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """How often each pattern's words occur, whatever follows."""
-    spark = texts.sparkSession
-    slices = max(1, -(-patterns.count() // _SLICE))
-    out = None
-    for s in range(slices):
-        part = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(slices)) == s)
-        known = np.sort(np.array([r[0] for r in part.toLocalIterator()], np.int64))
-        if len(known):
-            got = texts.mapInArrow(_count_patterns(spark.sparkContext.broadcast(known)), "pattern long, total long")
-            out = got if out is None else out.union(got)
-    if out is None:
-        return patterns.select("pattern", F.lit(0).cast("long").alias("total")).limit(0)
-    return out.groupBy("pattern").agg(F.sum("total").alias("total"))
-
-
-def score_patterns(edges: DataFrame, totals: DataFrame, rounds: int = 3) -> DataFrame:
-    """(pattern, confidence) after rounds of scoring; edges are (pattern, instance, kind, n)."""
-    seeds = edges.groupBy("instance").agg(F.max(F.col("kind").isNotNull().cast("double")).alias("seed"))
-    graph = edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n")).join(totals, "pattern").join(seeds, "instance")
+    bits = bits_for(patterns.count())
+    bitmap = marks(patterns, F.shiftrightunsigned("pattern", 64 - bits), bits)
+    counted = texts.mapInArrow(_count_patterns(bits, bitmap), "pattern long, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
+    return materialise(counted.join(patterns, "pattern", "left_semi"))
+
+
+def score_patterns(edges: DataFrame, totals: DataFrame, rounds: int = 3, min_seeds: int = 3, min_confidence: float = 0.5) -> DataFrame:
+    """(pattern, confidence, kind) after rounds of scoring; edges are (pattern, instance, kind, n), kind an index or null."""
+    own = edges.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("own"))
+    graph = edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n")).join(totals, "pattern").join(own, "instance", "left")
     graph = materialise(graph)
-    belief = graph.select("instance", F.col("seed").alias("s")).distinct()
+    belief = graph.select("instance", F.col("own").alias("kind"), F.col("own").isNotNull().cast("double").alias("s")).distinct()
     for r in range(rounds):
+        seed = F.col("s") >= min_confidence
+        # the kind with the greatest weight; of equal ones the first
         share = (
             graph.join(belief, "instance")
             .groupBy("pattern")
-            .agg(F.least(F.lit(1.0), F.sum(F.col("n") * F.col("s")) / F.max("total")).alias("confidence"))
+            .agg(
+                F.round(F.least(F.lit(1.0), F.sum(F.col("n") * F.col("s")) / F.max("total")), 9).alias("confidence"),
+                F.count_if(seed).alias("seeds"),
+                F.max(F.when(seed, F.struct(F.col("n") * F.col("s"), -F.col("kind")))).alias("best"),
+            )
+            .where(F.col("seeds") >= min_seeds)
+            .select("pattern", "confidence", (-F.col("best.col2")).alias("kind"))
         )
         if r < rounds - 1:
             doubt = F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999999)))))
+            strong = share.where(F.col("confidence") >= min_confidence)
+            spread = graph.join(strong, "pattern").groupBy("instance").agg(F.round(1 - doubt, 9).alias("found"), F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("by"))
+            known = graph.select("instance", "own").distinct().join(spread, "instance", "left")
             belief = materialise(
-                graph.join(share, "pattern").groupBy("instance").agg(F.greatest(F.max("seed"), 1 - doubt).alias("s"))
+                known.select(
+                    "instance",
+                    F.coalesce("own", -F.col("by.k")).alias("kind"),
+                    F.when(F.col("own").isNotNull(), 1.0).otherwise(F.coalesce("found", F.lit(0.0))).alias("s"),
+                )
             )
     return share
 
 
 def find_personal_data(df: DataFrame, text: str = "text", min_seeds: int = 3, min_confidence: float = 0.5, rounds: int = 3) -> DataFrame:
-    """All input columns but the text, ``n_<kind>``, ``base_sha256``, ``base_spans``, ``n_context`` and ``spans``."""
-    results = [*[f"n_{k}" for k in KINDS], "base_sha256", "base_spans", "n_context", "spans"]
-    df = drop_clashes(df, results)
-    keep = [c for c in df.columns if c != text]
+    """All input columns but the text, ``n_<kind>``, ``base_sha256``, ``base_spans``, ``n_context``, ``n_spans`` and ``spans``."""
+    results = [*[f"n_{k}" for k in KINDS], "base_sha256", "base_spans", "n_context", "n_spans", "spans"]
+    own_text = inner_name(df, text)
+    df, back = shielded(df, [*results, text])
+    keep = [c for c in df.columns if c != own_text]
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*[f"`{c}` {types[c]}" for c in keep], *[f"n_{k} long" for k in KINDS], "base_sha256 string", "base_spans string", f"__found {CANDIDATES}"])
-    base = materialise(df.select(*[F.col(f"`{c}`") for c in keep], F.col(text)).mapInArrow(_scan, schema))
-
-    found = base.where(F.size("__found") > 0).select(F.explode("__found").alias("x")).select("x.*")
+    schema = ", ".join([*[f"{c} {types[c]}" for c in keep], *[f"n_{k} long" for k in KINDS], "base_sha256 string", "base_spans string", f"__found {CANDIDATES}"])
+    base = df.select(*keep, own_text).mapInArrow(_scan, schema)
+    # written with the rows, the number stays theirs
+    base = materialise(base.withColumn("__row", F.monotonically_increasing_id()))
+
+    some = base.where(F.size("__found") > 0)
+    index = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("x.kind"))
+    found = some.select("__row", F.explode("__found").alias("x")).select("__row", "x.pattern", "x.instance", index.cast("int").alias("kind"), "x.start", "x.end")
     edges = materialise(found.groupBy("pattern", "instance", "kind").agg(F.count(F.lit(1)).alias("n")))
-    enough = edges.where("kind is not null").groupBy("pattern").agg(F.countDistinct("instance").alias("seeds"), F.max_by("kind", "n").alias("as_kind")).where(F.col("seeds") >= min_seeds)
-    enough = materialise(enough)
-    totals = _totals(df.select(F.col(text).alias("text")), enough.select("pattern"))
-    scored = score_patterns(edges.join(enough.select("pattern"), "pattern", "left_semi"), totals, rounds)
-    good = enough.join(scored.where(F.col("confidence") >= min_confidence), "pattern").select("pattern", "as_kind")
-
-    # rows are joined back by content: equal rows have equal candidates
-    marked = base.where(F.size("__found") > 0).select(F.xxhash64("base_spans", "__found").alias("__row"), "__found").dropDuplicates(["__row"])
-    added = (
-        marked.select("__row", F.explode("__found").alias("x")).where("x.kind is null").select("__row", "x.pattern", "x.start", "x.end")
-        .join(good, "pattern")
-        .groupBy("__row")
-        .agg(F.array_sort(F.collect_set(F.struct(F.col("as_kind"), F.col("start"), F.col("end")))).alias("__added"))
-    )
-    out = base.withColumn("__row", F.when(F.size("__found") > 0, F.xxhash64("base_spans", "__found"))).join(added, "__row", "left")
-    more = F.array_join(F.transform("__added", lambda x: F.concat_ws(":", F.concat(F.lit("context_"), x["as_kind"]), x["start"], x["end"])), ",")
+    possible = materialise(edges.groupBy("pattern").agg(F.countDistinct("instance").alias("m")).where(F.col("m") >= min_seeds).select("pattern"))
+    totals = _totals(df.select(F.col(own_text).alias("text")), possible)
+    good = score_patterns(edges.join(possible, "pattern", "left_semi"), totals, rounds, min_seeds, min_confidence)
+    good = good.where(F.col("confidence") >= min_confidence).select("pattern", F.col("kind").alias("as_kind"))
+
+    span = F.struct(F.col("as_kind"), F.col("start"), F.col("end"))
+    added = found.where("kind is null").join(good, "pattern").groupBy("__row").agg(F.array_sort(F.collect_set(span)).alias("__added"))
+    none = F.lit(None).cast("array<struct<as_kind:int,start:int,end:int>>")
+    out = some.join(added, "__row", "left").unionByName(base.where(F.size("__found") == 0).withColumn("__added", none))
+    kind = lambda x: F.element_at(F.array(*[F.lit(f"context_{k}") for k in KINDS]), x["as_kind"])
+    more = F.array_join(F.transform("__added", lambda x: F.concat_ws(":", kind(x), x["start"], x["end"])), ",")
+    n_context = F.coalesce(F.size("__added"), F.lit(0)).cast("long")
     return out.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *back,
         *[f"n_{k}" for k in KINDS],
         "base_sha256",
         "base_spans",
-        F.coalesce(F.size("__added"), F.lit(0)).cast("long").alias("n_context"),
+        n_context.alias("n_context"),
+        (sum((F.col(f"n_{k}") for k in KINDS), F.lit(0)) + n_context).alias("n_spans"),
         F.when(F.col("__added").isNull(), F.col("base_spans")).otherwise(F.concat_ws(",", F.nullif("base_spans", F.lit("")), more)).alias("spans"),
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 from . import decontaminate, jaccard, licences, mixing, pii, quality, repeats, secrets, shards, tokens
@@ -94,7 +95,50 @@ FROM g
 @_query("op5_credential_linking")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    n_spans = sum((F.col(c) for c in ("n_access", "n_hex", "n_linked")), F.col("n_assign"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked", n_spans.alias("n_spans"))
+
+
+def _either(*words: str) -> str:
+    """Alternatives in either case of A to Z; ``(?i)`` of that engine folds more letters. An underscore is optional."""
+    return "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else "_?" if c == "_" else c for c in w) for w in words)
+
+
+def _credentials_sql() -> str:
+    """The operator's patterns for an engine without look-behind: a match of a weak kind may begin with the character before it."""
+    gap = r"""["'']?\x20*[:=]\x20*["'']?"""
+    edge = "(?:^|[^A-Za-z0-9])"
+    assign = f"({_either('password', 'passwd', 'secret', 'token', 'api_key')}){gap}([A-Za-z0-9+/_.=-]+)"
+    account = f"{edge}(?:{_either('username', 'user', 'login', 'client_id', 'account', 'access_key_id')}){gap}([A-Za-z0-9._@-]{{3,}})"
+    weak = f"{edge}(?:{_either('pass', 'pwd', 'auth', 'client_secret', 'private_key', 'access_key')}){gap}([A-Za-z0-9+/_.=-]{{6,}})"
+    endpoint = f"{edge}(?:{_either('https', 'http', 'ftp', 'ssh', 'amqp', 'redis', 'mongodb', 'mysql', 'postgresql', 'postgres')})://[^\\x00-\\x20\"''<>]+"
+    kinds = [("assign", "S", "false", assign), ("access", "I", "false", "AKIA[A-Z0-9]{16,}"), ("hex", "S", "false", "[0-9a-f]{24,}")]
+    kinds += [("account", "I", "true", account), ("weak_secret", "S", "true", weak), ("endpoint", "E", "true", endpoint)]
+    parts = "\n UNION ALL ".join(
+        f"SELECT doc_id, '{kind}' AS kind, {min(k, 3)} AS k, '{role}' AS role, {weak_} AS weak, regexp_extract_all(t, '{p}') AS ms, regexp_split_to_array(t, '{p}') AS ps FROM d"
+        for k, (kind, role, weak_, p) in enumerate(kinds)
+    )
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+x AS ({parts}),
+m AS (SELECT doc_id, kind, k, role, weak, unnest(ms) AS m, unnest(ps[1 : len(ms)]) AS p, unnest(range(len(ms))) AS i FROM x WHERE len(ms) > 0),
+r AS (SELECT *, CAST(sum(length(p) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS e FROM m),
+s AS (SELECT doc_id, kind, k, role, weak, e - length(m) + CASE WHEN weak AND regexp_matches(m, '^[^A-Za-z0-9]') THEN 1 ELSE 0 END AS b, e FROM r
+      WHERE kind <> 'assign' OR length(regexp_extract(m, '{assign}', 2)) >= 6),
+l AS (SELECT a.doc_id, a.kind, a.role, a.b, a.e, bool_or(o.role = 'S') AS s, bool_or(o.role = 'I') AS i
+      FROM s a JOIN s o ON a.doc_id = o.doc_id AND a.role <> o.role AND greatest(o.b - a.e, a.b - o.e) <= 300 WHERE a.weak GROUP BY ALL),
+k AS (SELECT doc_id, b, k, kind, e FROM s WHERE NOT weak
+      UNION ALL SELECT doc_id, b, 3, kind, e FROM l WHERE (role = 'I' AND s) OR (role = 'S' AND i) OR (role = 'E' AND s AND i)),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+      count(*) FILTER (k = 3) AS n_linked, count(*) AS n_spans, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k, kind, e) AS spans,
+      string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k, kind, e) FILTER (k < 3) AS base FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked, coalesce(n_spans, 0) AS n_spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+ORACLES["op5_credential_linking"] = _credentials_sql()
 
 
 @_query("op7_prefix_filtered_decontamination")
@@ -172,7 +216,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_
 @_query("op3_contextual_personal_data")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_context")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_context", "n_spans")
 
 
 @_query("op4_licence_dice")

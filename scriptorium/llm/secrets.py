@@ -13,7 +13,10 @@ buckets as wide as a scope, each in all that it reaches, so a long document's
 parts meet near ones alone.
 
 Defined results: null or empty texts have no spans; repeated rows get equal
-results; rows that share an id are told apart by their text.
+results; rows that share an id are told apart by their text; a null id is an id
+of its own; matches of one text, however long, are placed in blocks, so work
+stays near linear in them; an empty table gives an empty result; input columns
+may have any name, and those that carry the name of a result are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import drop_clashes, whole
+from .text import inner_name, shielded, whole
 
 #: kind, pattern, role, test of the matched text. Roles: I identifier, S secret, E endpoint. Fixed values.
 ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -32,6 +35,7 @@ WEAK_SECRET = "(?i)(?<![A-Za-z0-9])(pass|pwd|auth|client_?secret|private_?key|ac
 ENDPOINT = "(?i)(?<![A-Za-z0-9])(?:https?|ftp|ssh|amqp|redis|mongodb|mysql|postgres(?:ql)?)://[^\\x00-\\x20\"'<>]+"
 
 _SPAN = "array<struct<start:int,end:int,value:string>>"
+_BLOCK = 256
 BASE = ("assign", "access", "hex")
 
 
@@ -41,18 +45,21 @@ def spans_of(text: Column, pattern: str) -> Column:
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
     empty = F.array().cast(_SPAN)
-    placed = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(
-                a["out"],
-                F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("value"))),
-            ).cast(_SPAN).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+
+    def step(a: Column, x: Column) -> Column:
+        # full blocks are set aside, so an append copies one block at most
+        start = a["at"] + x["gap"]
+        end = start + F.length(x["m"])
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value")))
+        full = F.size(a["block"]) >= _BLOCK
+        return F.struct(
+            end.alias("at"),
+            F.when(full, one).otherwise(F.concat(a["block"], one)).cast(_SPAN).alias("block"),
+            F.when(full, F.concat(a["done"], F.array(a["block"]))).otherwise(a["done"]).cast(f"array<{_SPAN}>").alias("done"),
+        )
+
+    zero = F.struct(F.lit(0).alias("at"), empty.alias("block"), F.array().cast(f"array<{_SPAN}>").alias("done"))
+    placed = F.aggregate(pairs, zero, step, lambda a: F.flatten(F.concat(a["done"], F.array(a["block"]))))
     return F.when(F.rlike(text, F.lit(pattern)), placed).otherwise(empty)
 
 
@@ -99,19 +106,19 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text: str = "text", scope: int = 300) -> DataFrame:
-    """All input columns, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``span_list`` and ``spans``."""
-    results = ["n_assign", "n_access", "n_hex", "base_sha256", "span_list", "spans"]
-    df = drop_clashes(df, results)
+    """All input columns, ``n_assign``, ``n_access``, ``n_hex``, ``n_linked``, ``base_sha256``, ``span_list`` and ``spans``."""
+    own_id, own_text = inner_name(df, id_col), inner_name(df, text)
+    df, back = shielded(df, ["n_assign", "n_access", "n_hex", "n_linked", "base_sha256", "span_list", "spans"])
     keep = df.columns
     t = F.col("__t")
-    out = base_spans(df, text).select("*", spans_of(t, ACCOUNT).alias("__account"), spans_of(t, WEAK_SECRET).alias("__weak"), spans_of(t, ENDPOINT).alias("__endpoint"))
+    out = base_spans(df, own_text).select("*", spans_of(t, ACCOUNT).alias("__account"), spans_of(t, WEAK_SECRET).alias("__weak"), spans_of(t, ENDPOINT).alias("__endpoint"))
     out = out.withColumn("__hash", F.xxhash64("__t"))
     n_i = F.size("__account") + F.size("__access")
     n_s = F.size("__assign") + F.size("__hex") + F.size("__weak")
     weak = F.size("__account") + F.size("__weak") + F.size("__endpoint")
     linkable = out.where((weak > 0) & (n_i > 0) & (n_s > 0))
     parts = linkable.select(
-        F.col(id_col).alias("id"),
+        F.col(own_id).alias("id"),
         F.col("__hash").alias("hash"),
         F.explode(
             F.concat(
@@ -123,17 +130,18 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text: str = "text", scop
                 _parts("__endpoint", "E", True, "endpoint"),
             )
         ).alias("p"),
-    ).select("id", "hash", "p.*")
-    linked = _linked(parts, scope)
+    ).select("id", "hash", "p.*").distinct()
+    linked = _linked(parts, scope).withColumnsRenamed({"id": "__id", "hash": "__of"})
 
     base = F.array_sort(F.concat(*[_ranked(kind, k) for k, kind in enumerate(BASE)]))
-    narrow = out.select(*[F.col(f"`{c}`") for c in keep], "__hash", *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in BASE], base.alias("__base"))
-    narrow = narrow.join(linked, F.col(id_col).eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("hash")), "left")
+    narrow = out.select(*keep, "__hash", *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in BASE], base.alias("__base"))
+    narrow = narrow.join(linked, F.col(own_id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__of")), "left")
     show = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     both = F.when(F.col("__linked").isNull(), F.col("__base")).otherwise(F.array_sort(F.concat("__base", "__linked")))
     return narrow.withColumn("span_list", both).select(
-        *[F.col(f"`{c}`") for c in keep],
+        *back,
         *[f"n_{k}" for k in BASE],
+        F.coalesce(F.size("__linked"), F.lit(0)).cast("long").alias("n_linked"),
         F.sha2(show(F.col("__base")), 256).alias("base_sha256"),
         "span_list",
         show(F.col("span_list")).alias("spans"),

@@ -37,3 +37,21 @@ def drop_clashes(df, names):
     """Remove input columns that carry the names of results; results win."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def shielded(df, names):
+    """``df`` under neutral names, and the columns that give its own names back.
+
+    Columns that carry the names of results are gone from the second. An
+    operator that works on the first can name its own columns as it likes.
+    """
+    taken = {n.lower() for n in names}
+    inner = [f"in{i}" for i in range(len(df.columns))]
+    back = [F.col(i).alias(c) for i, c in zip(inner, df.columns, strict=True) if c.lower() not in taken]
+    return df.toDF(*inner), back
+
+
+def inner_name(df, column: str) -> str:
+    """The neutral name that ``shielded`` gives a column; an exact match goes before another case."""
+    exact = [i for i, c in enumerate(df.columns) if c == column]
+    return f"in{(exact or [i for i, c in enumerate(df.columns) if c.lower() == column.lower()])[0]}"
