@@ -5,19 +5,25 @@ A passage of about a template's length is a match if the Dice coefficient of
 their sets of word bigrams reaches ``threshold``. Size bounds prune: two sets
 of sizes a and b reach t only if 2 min(a, b) >= t (a + b), so a text needs at
 least t m / (2 - t) of a template's m bigrams before any passage of it is
-compared, and passages are sought only where that many stand within a
-template's greatest length.
+compared, and passages are sought only where that many stand within (2 - t) / t
+times the template's length, which no passage may exceed.
 
 The templates are a fixed list of a few kilobytes. One scan, no shuffle; memory
 is bounded by a block of texts or the longest text.
 
+The list holds notices and short licences, not the thousands of words of the
+long ones; those are found by the notices that accompany them.
+
 Defined results: null or empty texts match nothing; equal rows get equal
-results; of matches that overlap, the one with the higher coefficient stays,
-then the longer, then the one whose template comes first.
+results; a very long text is searched whole; of matches that overlap, the one
+with the higher coefficient stays, then the longer, then the one whose template
+comes first; an empty table gives an empty result. Input columns may have any
+name; those that carry the name of a result are replaced.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .text import drop_clashes
+from .text import inner_name, shielded
 
 # Public licence texts and notices. (id, class, text)
 TEMPLATES = (
@@ -47,6 +53,17 @@ provided that the above copyright notice and this permission notice appear in al
 following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
 following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
 disclaimer in the documentation and/or other materials provided with the distribution."""),
+    ("BSD-3-Clause", "permissive", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the
+names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""),
+    ("Zlib", "permissive", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software
+must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment
+in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not
+be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""),
     ("Apache-2.0", "permissive", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "permissive", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
 the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to
@@ -55,9 +72,20 @@ express or implied. See the License for the specific language governing permissi
     ("GPL-3.0", "copyleft", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "copyleft", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
 License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("GPL-2.0", "copyleft", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."""),
+    ("LGPL-2.1", "copyleft", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."""),
+    ("LGPL-3.0", "copyleft", """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("AGPL-3.0", "copyleft", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("EPL-2.0", "copyleft", """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/"""),
     ("MPL-2.0", "copyleft", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
 distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
     ("Unlicense", "permissive", "This is free and unencumbered software released into the public domain."),
+    ("CC0-1.0", "permissive", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("CC-BY-4.0", "attribution", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "copyleft", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "non-commercial", "Licensed under CC BY-NC 4.0."),
@@ -81,47 +109,47 @@ def _bigrams(data: np.ndarray, offsets: np.ndarray):
 
 
 @lru_cache
-def templates() -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Each template's bigrams; all bigrams, sorted, with the set of their templates as bits."""
-    sets = []
+def templates() -> tuple[list[np.ndarray], list[int], np.ndarray, np.ndarray]:
+    """Each template's bigrams and length; all bigrams, sorted, and whether each template has them."""
+    sets, lengths = [], []
     for _, _, text in TEMPLATES:
         raw = np.frombuffer(text.encode(), np.uint8)
-        sets.append(np.unique(_bigrams(raw, np.array([0, len(raw)]))[3]))
+        two = _bigrams(raw, np.array([0, len(raw)]))[3]
+        sets.append(np.unique(two))
+        lengths.append(len(two))
     every = np.unique(np.concatenate(sets))
-    bits = np.zeros(len(every), np.int64)
-    for i, s in enumerate(sets):
-        bits[np.searchsorted(every, s)] |= 1 << i
-    return sets, every, bits
+    has = np.stack([np.isin(every, s) for s in sets])
+    return sets, lengths, every, has
 
 
-def _passages(two: np.ndarray, mask: np.ndarray, which: int, wanted: np.ndarray, threshold: float) -> list[tuple[float, int, int]]:
+def _passages(two: np.ndarray, hit: np.ndarray, wanted: np.ndarray, length: int, threshold: float) -> list[tuple[float, int, int]]:
     """(dice, first, end) in bigrams of passages that match one template."""
     m = len(wanted)
     least = max(1, int(np.ceil(threshold * m / (2 - threshold) - 1e-9)))
-    hits = np.flatnonzero(mask >> which & 1)
+    hits = np.flatnonzero(hit)
     if len(hits) < least:
         return []
-    most = int(m * (2 - threshold) / threshold + 1e-9)
-    out = []
-    i = 0
-    while i + least <= len(hits):
+    most = int(length * (2 - threshold) / threshold + 1e-9)
+    values, out, i = two.tolist(), [], 0
+    at = hits.tolist()
+    while i + least <= len(at):
         # runs of hits whose neighbours of ``least`` hits lie within the greatest length
-        if hits[i + least - 1] - hits[i] + 1 > most:
+        if at[i + least - 1] - at[i] + 1 > most:
             i += 1
             continue
         best = None
-        seen: set[int] = set()
-        for j in range(i, len(hits)):
-            size = int(hits[j] - hits[i] + 1)
-            if size > 2 * most:
+        shared: set[int] = set()
+        every: set[int] = set()
+        done = at[i]
+        for j in range(i, len(at)):
+            if at[j] - at[i] + 1 > most:
                 break
-            seen.add(int(two[hits[j]]))
-            if len(seen) < least:
-                continue
-            distinct = size if size < 2 else len(np.unique(two[hits[i] : hits[j] + 1]))
-            dice = 2 * len(seen) / (m + distinct)
-            if dice >= threshold and (best is None or dice > best[0]):
-                best = (dice, int(hits[i]), int(hits[j]) + 1, j)
+            shared.add(values[at[j]])
+            every.update(values[done : at[j] + 1])
+            done = at[j] + 1
+            dice = 2 * len(shared) / (m + len(every))
+            if len(shared) >= least and dice >= threshold and (best is None or dice > best[0]):
+                best = (dice, at[i], at[j] + 1, j)
         if best:
             out.append(best[:3])
             i = best[3] + 1
@@ -131,24 +159,38 @@ def _passages(two: np.ndarray, mask: np.ndarray, which: int, wanted: np.ndarray,
 
 
 def match_text(two: np.ndarray, threshold: float) -> list[tuple[float, int, int, int]]:
-    """Chosen matches (dice, first, end, template) of one text's bigrams, by place."""
-    sets, every, bits = templates()
+    """Chosen matches (dice, first, end, template) of one text's bigrams, by place.
+
+    Of the matches found, better ones go first. What lies between those chosen is
+    searched again on its own, so no passage is lost to a match that it does not
+    overlap.
+    """
+    sets, lengths, every, has = templates()
     at = np.searchsorted(every, two)
     at[at == len(every)] = 0
-    mask = np.where(every[at] == two, bits[at], 0)
-    found = []
-    for which, wanted in enumerate(sets):
-        found += [(-d, a - b, which, a, b) for d, a, b in _passages(two, mask, which, wanted, threshold)]
+    known = every[at] == two
     chosen: list[tuple[float, int, int, int]] = []
-    for d, _, which, a, b in sorted(found):
-        if not any(a < e and s < b for _, s, e, _ in chosen):
-            chosen.append((-d, a, b, which))
+    open_ = [(0, len(two))]
+    while open_:
+        lo, hi = open_.pop()
+        found = []
+        for which, (wanted, length) in enumerate(zip(sets, lengths, strict=True)):
+            found += [(-d, a - b, which, a, b) for d, a, b in _passages(two[lo:hi], known[lo:hi] & has[which][at[lo:hi]], wanted, length, threshold)]
+        taken: list[tuple[int, int]] = []
+        for d, _, which, a, b in sorted(found):
+            i = bisect_left(taken, (a, b))
+            if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+                taken.insert(i, (a, b))
+                chosen.append((-d, lo + a, lo + b, which))
+        if taken:
+            edges = [0, *[x for t in taken for x in t], hi - lo]
+            open_ += [(lo + edges[i], lo + edges[i + 1]) for i in range(0, len(edges), 2) if edges[i] < edges[i + 1]]
     return sorted(chosen, key=lambda x: x[1:3])
 
 
 def _scan(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, every, _ = templates()
+        sets, _, every, _ = templates()
         fewest = min(max(1, int(np.ceil(threshold * len(s) / (2 - threshold) - 1e-9))) for s in sets)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
@@ -180,13 +222,15 @@ def scan_licences(df: DataFrame, text: str = "text", threshold: float = 0.9) ->
 
     Places are in code points of the text, end exclusive.
     """
-    df = drop_clashes(df, ["matches", "n_matches", "licence", "spans"])
-    keep = [c for c in df.columns if c != text]
+    own_text = inner_name(df, text)
+    df, back = shielded(df, ["matches", "n_matches", "licence", "spans", text])
+    keep = [c for c in df.columns if c != own_text]
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    out = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text)).mapInArrow(_scan(threshold), ", ".join([*[f"`{c}` {types[c]}" for c in keep], f"matches {MATCH}"]))
+    out = df.select(*keep, own_text).mapInArrow(_scan(threshold), ", ".join([*[f"{c} {types[c]}" for c in keep], f"matches {MATCH}"]))
     best = F.array_max(F.transform("matches", lambda x: F.struct(x["dice"].alias("d"), (x["end"] - x["start"]).alias("n"), x["licence"].alias("licence"))))
     return out.select(
-        "*",
+        *back,
+        "matches",
         F.size("matches").cast("long").alias("n_matches"),
         best["licence"].alias("licence"),
         F.array_join(F.transform("matches", lambda x: F.concat_ws(":", x["licence"], x["start"], x["end"])), ",").alias("spans"),

@@ -26,7 +26,9 @@ has (by likelihood ratio over hashed words) and shares of characters and
 repeats. All other sums run over all documents.
 
 Defined results: a null or empty text has no tokens, the prior's posterior and
-a rate all the same; without labels there is one domain and every rate is one;
+a rate all the same; repeated rows get equal results, each counting its own
+tokens; a very long text is read whole; input columns that carry the name of a
+result are replaced; without labels there is one domain and every rate is one;
 labels whose document is missing, or with a null label, are ignored; of several
 labels of one id the least counts; an empty table gives an empty result.
 """
@@ -197,8 +199,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     known = labels.dropna().groupBy(id_col).agg(F.min(F.struct(*names)).alias("l"))
     domain = F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.regexp_replace(F.col(f"l.{c}").cast("string"), " ", "_")) for c in sorted(names)])
     sample = known.select(id_col, domain.alias("__domain")).orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(max_train)
-    rows = docs.join(F.broadcast(sample), id_col).select("__domain", F.col(text)).mapInArrow(_training_rows, "domain string, shares binary, words binary").collect()
-    return fit(rows) if rows else None
+    rows = docs.join(F.broadcast(sample), id_col).select("__domain", F.col(text)).mapInArrow(_training_rows, "domain string, shares binary, words binary").toArrow().to_pylist()
+    model = fit(rows) if rows else None
+    del rows
+    wh.release()
+    return model
 
 
 def _score(model):

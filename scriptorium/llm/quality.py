@@ -5,9 +5,14 @@ shouting, boilerplate); failing lines are removed, and a document that loses
 more than a set share of its words to them is rejected. Everything is a column
 expression over one scan: no shuffle, no Python.
 
+The phrases of the boilerplate rule are English; lines in other languages are
+judged by the other rules.
+
 Defined results: a null or empty text has no words and fails the base rule on
 length. Blank lines are neither kept nor failed. Repeated rows get equal
-results. Result columns replace input columns of the same name.
+results. A very long text is judged whole, in time near linear in it. An empty
+table gives an empty result. Input columns may have any name; those that carry
+the name of a result, the text apart, are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACE, drop_clashes, whole, words
+from .text import SPACE, inner_name, shielded, whole, words
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases that mark a line of a page's frame. Fixed values.
@@ -134,7 +139,9 @@ def clean_lines(df: DataFrame, rules: LineRules = LineRules(), text: str = "text
     between them gone; ``lost_words`` counts the words of the failed lines.
     """
     results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words", "n_lines", "n_failed_lines", "kept", "clean_text"]
-    out = base_measures(drop_clashes(df, [r for r in results if r != text]), text)
+    own_text = inner_name(df, text)
+    df, back = shielded(df, [r for r in results if r != text])
+    out = base_measures(df, own_text)
     out = out.select("*", *_traits())
     simple = lambda x: F.when(_is_frame(x, rules), "boilerplate").when(_is_stub(x, rules), "punctuation")
     # the flags also stand outside the lambda, which keeps the optimizer from moving their tests of the whole text into it
@@ -149,9 +156,8 @@ def clean_lines(df: DataFrame, rules: LineRules = LineRules(), text: str = "text
     failed = F.col("__failed")
     out = out.withColumn("__lost", F.aggregate(failed, F.lit(0).cast("long"), lambda a, x: a + _count(x["line"])))
     base = (F.col("__n_words") < rules.min_words) | (F.col("__n_repeat") * 100 > F.col("__n_words") * rules.max_repeat_percent)
-    kept = [c for c in out.columns if not c.startswith("__")]
     return out.select(
-        *[F.col(f"`{c}`") for c in kept],
+        *back,
         F.col("__n_words").alias("n_words"),
         F.col("__word_chars").alias("word_chars"),
         F.col("__n_symbols").alias("n_symbols"),

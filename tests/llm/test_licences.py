@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import random
 import re
 
+import numpy as np
+
 from scriptorium.llm import licences
 
 
@@ -42,3 +45,38 @@ def test_exact_and_edited_templates_are_found(spark):
 
 def test_empty(spark):
     assert licences.scan_licences(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_no_passage_is_missed():
+    rng = random.Random(1)
+    t = 0.9
+    sets, lengths, _, _ = licences.templates()
+    n = 0
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            w = rng.choice(licences.TEMPLATES)[2].split()
+            for _ in range(rng.randint(0, max(1, len(w) // 25)) if rng.random() < 0.4 else 0):
+                w[rng.randrange(len(w))] = "zz"
+            parts += [" ".join(w[rng.randint(0, max(1, len(w) // 12)) :]), " ".join(rng.choices("aa bb cc the software of".split(), k=rng.randint(0, 8)))]
+        raw = np.frombuffer(" ".join(parts).encode(), np.uint8)
+        two = licences._bigrams(raw, np.array([0, len(raw)]))[3]
+        got = licences.match_text(two, t)
+        assert all(a[2] <= b[1] for a, b in zip(got, got[1:]))
+        for wanted, length in zip(sets, lengths):
+            m, most = set(wanted.tolist()), int(length * (2 - t) / t + 1e-9)
+            for i in range(len(two)):
+                seen = set()
+                for j in range(i, min(len(two), i + most) if int(two[i]) in m else i):
+                    seen.add(int(two[j]))
+                    if 2 * len(seen & m) / (len(m) + len(seen)) >= t:
+                        n += 1
+                        assert any(a < j + 1 and i < b for _, a, b, _ in got)
+    assert n > 1000
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    rows = [(1, licences.TEMPLATES[0][2], 5, "x")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, `licence` int, `in0` string")
+    got = licences.scan_licences(df).collect()
+    assert [(r.doc_id, r.licence, r.n_matches, r.in0) for r in got] == [(1, "MIT", 1, "x")] * 3

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import re
 import zlib
 
 from scriptorium.llm import decontaminate, quality, shards
@@ -74,3 +76,54 @@ def test_contamination_edges(spark):
         }
     assert decontaminate.contamination(d.limit(0), i).collect() == []
     assert all(r.n_hit == 0 for r in decontaminate.contamination(d, i.limit(0)).collect())
+
+
+def test_operators_keep_columns_of_any_name(spark):
+    names = ["__key", "__stratum", "__t", "__w", "in0", "row", "key"]
+    made = spark.createDataFrame([(i, f"s{i % 2}", PROSE + str(i), *range(len(names))) for i in range(20)], ["doc_id", "source", "text", *names])
+    for got in (shards.interleave(made, n_shards=4), quality.clean_lines(made)):
+        rows = got.collect()
+        assert set(names) <= set(got.columns) and len(rows) == 20
+        assert all([r[n] for n in names] == list(range(len(names))) for r in rows)
+    items = spark.createDataFrame([(1, "Quite ordinary words stand here in a sentence that says little", 7)], "item_id long, text string, row int")
+    assert all(r.contaminated for r in decontaminate.contamination(made, items).collect())
+
+
+def test_small_and_large_strata_share_the_slices(spark):
+    rows = [(i, f"one{i}" if i < 300 else "big", "x") for i in range(1500)] + [(None, "big", None), (None, None, "")]
+    got = shards.interleave(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5), n_shards=7).collect()
+    by = {k: sorted(r.slot for r in got if r.shard == k) for k in range(7)}
+    assert len(got) == 1502 and all(v == list(range(len(v))) for v in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    # sources of one row all have the middle rank
+    assert {r.shard for r in got if r.source and r.source.startswith("one")} <= {2, 3, 4}
+    big = [sum(r.source == "big" for r in got if r.shard == k) for k in (0, 1, 5, 6)]
+    assert max(big) - min(big) <= 1
+
+
+def test_contamination_gives_each_row_its_own_result_in_both_joins(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)] + ["É", "the"]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([0, 1, 2, 3, 5, 12, 14])))) for i in range(30)] + [(99, "The"), (98, None)]
+    docs = [(i // 2 if i % 7 else None, " ".join(rng.choices(words, k=rng.randint(0, 60)))) for i in range(120)]
+    docs += [(500 + i, "x " + items[i][1].upper() + " y") for i in range(30)] + [(700, None), (700, "")]
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+    def brute(text):
+        ws, hit, found = split(text), set(), set()
+        for i, t in items:
+            w = split(t)
+            for s in range(max(len(w) - 10, 0) + 1) if w else []:
+                part = w[s : s + 10]
+                for p in range(len(ws) - len(part) + 1):
+                    if ws[p : p + len(part)] == part:
+                        hit |= set(range(p, p + len(part)))
+                        found.add(str(i))
+        return len(ws), len(hit), sorted(found)
+
+    want = sorted((str(d), *map(str, brute(t))) for d, t in docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    it = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (10**6, 0):
+        rows = decontaminate.contamination(df, it, broadcast_words=limit).collect()
+        assert sorted((str(r.doc_id), str(r.n_words), str(r.n_hit), str(r["items"])) for r in rows) == want
