@@ -18,11 +18,16 @@ from ..functions import vectors as V
 
 K = 60
 BROADCAST_ROWS = 200_000
+#: Questions whose terms are broadcast; beyond that Spark chooses the join.
+MOST_QUESTIONS = 5_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it is counted to be small; else leave the choice to Spark."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, of: DataFrame | None = None) -> DataFrame:
+    """Broadcast ``df`` if it, or the table ``of`` that bounds it, is counted to be small; else leave the choice to Spark.
+
+    Counting runs the plan, so ``of`` should be a table that is read, not computed.
+    """
+    return F.broadcast(df) if (df if of is None else of).limit(rows + 1).count() <= rows else df
 
 
 def term_frequency(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -42,26 +47,43 @@ class Index:
     stats: DataFrame
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Index:
-    lengths = doc_lengths(docs, id_col, text)
-    tf = term_frequency(docs, id_col, text)
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avglen"))
+def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: DataFrame | None = None) -> Index:
+    """The index of all terms, or of those that ``vocabulary`` (term) names; lengths and statistics cover all words of all documents.
+
+    A document's words are cut once: its length rides along with each word, and
+    an empty word that every document has carries the lengths into the statistics.
+    """
+    words = T.tokens(F.col(text))
+    whole = F.coalesce(words, F.array().cast("array<string>"))
+    each = docs.select(F.col(id_col).alias("id"), whole.alias("w")).select("id", F.size("w").cast("long").alias("len"), F.explode(F.array_append("w", F.lit(""))).alias("term"))
+    if vocabulary is not None:
+        each = each.join(vocabulary.select("term").union(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct(), "term", "left_semi")
+    counted = each.groupBy("id", "term", "len").agg(F.count(F.lit(1)).alias("f"))
+    stats = counted.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avglen"))
+    tf = counted.where("term <> ''")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = df.crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"), "avglen")
-    return Index(tf.join(lengths, "id"), terms, stats)
+    return Index(tf.select("id", "term", "f", "len"), terms, stats)
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def bm25_of(docs: DataFrame, questions: DataFrame, id_col: str = "doc_id", text: str = "text", query_id: str = "item_id", query: str = "text") -> DataFrame:
+    """``bm25`` over an index of the questions' own terms, so no other posting is shuffled."""
+    vocabulary = questions.select(F.explode(T.tokens(F.col(query))).alias("term")).distinct()
+    return bm25(build_index(docs, id_col, text, small(vocabulary, MOST_QUESTIONS, questions)), questions, query_id, query)
+
+
 def bm25(index: Index, questions: DataFrame, id_col: str = "item_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, id, score) of every passage that shares a term with a question."""
     q = term_frequency(questions, id_col, text).select(F.col("id").alias("query_id"), "term", F.col("f").alias("qf"))
-    weighted = small(q).join(index.terms, "term")
+    # a question's term has at most one row of statistics, so questions bound both sides
+    weighted = small(q, MOST_QUESTIONS, questions).join(index.terms, "term")
     gain = F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("avglen")))
     boost = F.when(F.col("qf") > 1, 1 + F.log("qf")).otherwise(1.0)
-    return index.postings.join(small(weighted), "term").groupBy("query_id", "id").agg(F.round(F.sum(gain * boost), 9).alias("score"))
+    return index.postings.join(small(weighted, MOST_QUESTIONS, questions), "term").groupBy("query_id", "id").agg(F.round(F.sum(gain * boost), 9).alias("score"))
 
 
 def ranked(scores: DataFrame, limit: int | None = None, position: str = "id", positive: bool = True) -> DataFrame:
@@ -106,10 +128,11 @@ def top(fused: DataFrame, limit: int, score: str = "fused") -> DataFrame:
 def sparse_features(docs: DataFrame, id_col: str, text: str, dims: int = 1024, trigrams: bool = False) -> DataFrame:
     """Hashed words, adjacent pairs and, if asked for, character trigrams as (id, bucket, weight); md5 stands in for a keyed hash."""
     w = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text)).alias("w"))
-    words = w.select("id", F.explode("w").alias("x")).select("id", F.concat(F.lit("w:"), "x").alias("name"), F.lit(1.0).alias("weight"))
-    pairs = w.where(F.size("w") > 1).select("id", F.explode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b"))).alias("p"))
-    pairs = pairs.select("id", F.concat(F.lit("b:"), "p.a", F.lit("_"), "p.b").alias("name"), F.lit(1.25).alias("weight"))
-    named = words.union(pairs)
+    at = w.select("id", "w", F.posexplode("w").alias("i", "x"))
+    follows = F.get("w", F.col("i") + 1)
+    feature = lambda prefix, name, weight: F.struct(F.concat(F.lit(prefix), name).alias("name"), F.lit(weight).alias("weight"))
+    found = F.array(feature("w:", F.col("x"), 1.0), F.when(follows.isNotNull(), feature("b:", F.concat("x", F.lit("_"), follows), 1.25)))
+    named = at.select("id", F.explode(found).alias("f")).where("f is not null").select("id", "f.name", "f.weight")
     if trigrams:
         joined = w.select("id", F.array_join("w", "_").alias("s")).where(F.length("s") > 2)
         parts = joined.select("id", "s", F.explode(F.expr("sequence(1, length(s) - 2)")).alias("i"))

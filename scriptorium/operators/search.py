@@ -61,7 +61,7 @@ def _scored(passages: DataFrame) -> DataFrame:
 
 
 def lexical_scores(passages: DataFrame, analysed: DataFrame) -> DataFrame:
-    return R.bm25(R.build_index(_scored(passages), "id", "body"), analysed, "query_id", "expanded")
+    return R.bm25_of(_scored(passages), analysed, "id", "body", "query_id", "expanded")
 
 
 def vector_scores(passages: DataFrame, analysed: DataFrame, dims: int = 1024) -> DataFrame:

@@ -29,7 +29,7 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
-    return R.bm25(R.build_index(_docs(spark, sf) if docs is None else docs), table(spark, sf, "benchmark"))
+    return R.bm25_of(_docs(spark, sf) if docs is None else docs, table(spark, sf, "benchmark"))
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,7 +198,7 @@ def _hash_scores(spark: SparkSession, sf: str, trigrams: bool = False) -> DataFr
     q = R.sparse_features(table(spark, sf, "benchmark"), "item_id", "text", trigrams=trigrams).toDF("query_id", "bucket", "qw")
     nd = d.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("nd"))
     nq = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("nq"))
-    both = d.join(R.small(q), "bucket").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("qw")).alias("s"))
+    both = d.join(R.small(q, R.MOST_QUESTIONS, table(spark, sf, "benchmark")), "bucket").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("qw")).alias("s"))
     return both.join(nd, "id").join(nq, "query_id").select("query_id", "id", F.round(F.col("s") / (F.col("nd") * F.col("nq")), 9).alias("score"))
 
 
@@ -246,7 +246,7 @@ def candidate_union(spark, sf):
 @query("hydrate_chunks", f"{_FUSED}, tk AS (SELECT query_id, id, {_ORDER.format('fused')} AS place FROM fu QUALIFY place <= 5) SELECT query_id, id, place, source, lang, n_chars FROM tk JOIN documents ON doc_id = id")
 def hydrate_chunks(spark, sf):
     hits = R.top(_fused(spark, sf), 5).select("query_id", "id", "place")
-    return _docs(spark, sf).select(F.col("doc_id").alias("id"), "source", "lang", "n_chars").join(R.small(hits), "id")
+    return _docs(spark, sf).select(F.col("doc_id").alias("id"), "source", "lang", "n_chars").join(R.small(hits, R.MOST_QUESTIONS, table(spark, sf, "benchmark")), "id")
 
 
 @query("hydrate_parent_left", f"{_FUSED}, tk AS (SELECT query_id, id, {_ORDER.format('fused')} AS place FROM fu QUALIFY place <= 5) SELECT query_id, id, place, quality FROM tk LEFT JOIN labels ON doc_id = id")
@@ -293,7 +293,7 @@ def merge_dedupe(spark, sf):
 def ctx_render(spark, sf):
     hits = R.top(_fused(spark, sf), 3).select("query_id", "id", "place")
     block = F.concat(F.lit("[SOURCE "), F.col("place"), F.lit("]\nTitle: "), "source", F.lit("\nType: "), "lang", F.lit("\n"), "text")
-    blocks = _docs(spark, sf).withColumnRenamed("doc_id", "id").join(R.small(hits), "id").select("query_id", "place", block.alias("b"))
+    blocks = _docs(spark, sf).withColumnRenamed("doc_id", "id").join(R.small(hits, R.MOST_QUESTIONS, table(spark, sf, "benchmark")), "id").select("query_id", "place", block.alias("b"))
     return blocks.groupBy("query_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "b"))), lambda x: x["b"]), "\n\n")).alias("context"))
 
 
