@@ -89,6 +89,6 @@ def hash_features(dims: int = 1024):
     return features
 
 
-def vector_literal(v: Column) -> Column:
+def vector_literal(v: Column, number: str = "%.9g") -> Column:
     """``[a,b,...]`` with nine significant digits, as stores of vectors read it; a null vector stays null."""
-    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.9g", x.cast("double"))), ","), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string(number, x.cast("double"))), ","), F.lit("]"))

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import layout as L
 from ..operators import questions as Q
 from ..operators import review as V
-from ..session import table
+from ..session import scratch_dir, table
 from ..sources import corpus as C
 from .registry import query
 
@@ -21,8 +21,7 @@ def literal(spark: SparkSession, values: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/scriptorium-scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:

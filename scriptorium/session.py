@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import zipfile
@@ -32,6 +33,28 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: str | None = None
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder below the one that ``spark.checkpoint.dir`` names.
+
+    Where the setting is missing and the session runs inside one process (tests) it is a temporary
+    folder of this process; a cluster without the setting is an error.
+    """
+    global _local
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if _local is None:
+            _local = tempfile.mkdtemp(prefix="scriptorium-")
+            atexit.register(shutil.rmtree, _local, ignore_errors=True)
+        base = f"file://{_local}"
+    return f"{base.rstrip('/')}/scriptorium-{context.applicationId}"
+
+
 _shipped: set[str] = set()
 
 

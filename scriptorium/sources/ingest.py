@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cards, chunks, policies
 from ..operators import questions as Q
-from .corpus import fingerprint
+from .corpus import digest
 
 TABLES = ("courses", "sections", "appendix_rows", "chunks")
 RUNS = "document string, fingerprint string, version string, folder string, at timestamp, n_chunks long"
@@ -34,7 +34,7 @@ def inputs_fingerprint(lines: DataFrame, tables: DataFrame, decisions: DataFrame
         df.select(F.concat_ws(":", F.lit(kind), F.xxhash64(*df.columns).cast("string"), F.lit(version)).alias("id"), F.to_json(F.struct(*sorted(df.columns))).alias("text"))
         for kind, df in (("line", lines), ("table", tables), ("decision", decisions))
     ]
-    return fingerprint(made[0].union(made[1]).union(made[2]), "id", "text").first()[0]
+    return digest(made[0].union(made[1]).union(made[2]), "id", "text").first()[0]
 
 
 def runs(spark: SparkSession, store: str) -> DataFrame:
