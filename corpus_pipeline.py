@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that it is given and
 returns documents; the last adds its shard. ``run`` writes each stage's result
 to the shared folder as Parquet and reads it again for the next.
+
+Defined results, for all stages: a null or empty text is judged like any other,
+so the first stage drops it for its length, and the later ones, given it, keep
+it; a null id is an id like others; repeated rows are judged alike, but of
+equal texts the second stage keeps the least id only, with all its rows; very
+long texts are read whole; of ties the least id stays; columns beyond those of
+documents are dropped by every stage, whatever their names; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -35,16 +43,18 @@ def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the least id stays."""
+    docs = docs.select(*COLUMNS)
     found = jaccard.near_components(docs)
     lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("__lost")), "left_anti").select(*COLUMNS)
+    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("__lost")), "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
+    docs = docs.select(*COLUMNS)
     found = decontaminate.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     lost = found.where("contaminated").select(F.col("doc_id").alias("__lost"))
-    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("__lost")), "left_anti").select(*COLUMNS)
+    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("__lost")), "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
