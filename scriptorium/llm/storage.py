@@ -11,36 +11,19 @@ cluster without the setting is an error.
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local: str | None = None
+from ..session import scratch_dir
+
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
 
 
-def _application_dir(spark: SparkSession) -> str:
-    global _local
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        if _local is None:
-            _local = tempfile.mkdtemp(prefix="scriptorium-")
-            atexit.register(shutil.rmtree, _local, ignore_errors=True)
-        base = f"file://{_local}"
-    return f"{base.rstrip('/')}/scriptorium-{context.applicationId}"
-
-
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder name below ``spark.checkpoint.dir``."""
-    return f"{_application_dir(spark)}/{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
@@ -73,7 +56,7 @@ def discard(*tables: DataFrame) -> None:
 
 def clear(spark: SparkSession) -> None:
     """Remove all scratch of this application; results that were not written elsewhere go with it."""
-    delete(spark, _application_dir(spark))
+    delete(spark, scratch_dir(spark))
 
 
 def delete(spark: SparkSession, path: str) -> None:

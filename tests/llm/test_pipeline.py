@@ -55,3 +55,28 @@ def test_mixing_stage_keeps_tokens_as_the_mixture_says(spark, tmp_path):
     assert 0 < has["quality=0 toxic=1"] / budget < 0.02 and got["quality=0 toxic=1"] == 0
     for d in has:
         assert abs(got[d] / budget - MIXTURE.get(d, 0)) < 0.01, (d, got[d] / budget)
+
+
+def test_stages_on_edge_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    def prose(seed, n=80):
+        return " ".join(f"Word{seed}x{i} and then." if i % 7 == 0 else f"word{seed}x{i}" for i in range(n))
+
+    ten = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(1, ten), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(1, prose(1)), (2, prose(1)), (3, None), (4, ""), (None, prose(2)), (5, prose(3)), (5, prose(3)), (6, prose(4) + " " + ten), (7, prose(5, 40_000)), (8, "short")]
+    df = spark.createDataFrame([(d, t, "en", None, len(t or ""), "x", 1, 2) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, `__lost` string, `rate` int, `shard` int").repartition(3)
+    ids = lambda name, docs: sorted((r.doc_id for r in dict(cp.STAGES)[name](spark, docs, str(tmp_path)).collect()), key=str)
+    kept = ids("quality rules", df)
+    assert 1 in kept and None in kept and kept.count(5) == 2 and not {3, 4, 8} & set(kept)
+    assert ids("n-gram Jaccard join", df) == sorted([d for d, _ in rows if d != 2], key=str)
+    assert ids("benchmark decontamination", df) == sorted([d for d, _ in rows if d != 6], key=str)
+    assert ids("mixing to target weights", df) == sorted([d for d, _ in rows], key=str)
+    last = cp.sharding_stage(spark, df, str(tmp_path)).collect()
+    assert len(last) == len(rows) and len({(r.shard, r.slot) for r in last}) == len(rows)
+    for name, stage in cp.STAGES:
+        out = stage(spark, df.limit(0), str(tmp_path))
+        assert out.collect() == [], name
+        assert out.columns[:5] == cp.COLUMNS and "__lost" not in out.columns
