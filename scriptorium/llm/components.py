@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, materialise
+from .storage import delete, materialise
 
 
 def _least(sym: DataFrame) -> DataFrame:
@@ -31,11 +31,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) of each node of ``edges`` (u, v); the component is its least id. Loops and repeats do no harm."""
+    spark = edges.sparkSession
     edges = materialise(edges.where("u <> v").distinct())
     last = None
     for _ in range(max_rounds):
         before, edges = edges, materialise(_small_star(_large_star(edges)))
-        discard(before)
+        delete(spark, before._scratch)
         mark = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if mark == last:
             break

@@ -153,10 +153,10 @@ def _levels(survey: DataFrame, bits: int) -> np.ndarray:
     """
     some = survey.where("n < 0").select("id", "n", "counts").groupBy("id", "n").applyInArrow(_add_counts("<u2"), "id long, counts binary")
     found = some.groupBy("id").applyInArrow(_add_counts("<u4"), "id long, counts binary").toArrow()
-    table = np.zeros((_SLICES, (1 << bits) // _SLICES))
+    table = np.zeros((_SLICES, (1 << bits) // _SLICES), np.uint8)
     for i, x in zip(found.column("id").to_pylist(), found.column("counts"), strict=True):
-        table[i] = np.frombuffer(x.as_buffer(), "<u4")
-    return np.floor(4 * np.log2(1.0 + table.ravel())).astype(np.uint8)
+        table[i] = np.floor(4 * np.log2(1.0 + np.frombuffer(x.as_buffer(), "<u4")))
+    return table.ravel()
 
 
 def _order_keys(g: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -292,6 +292,7 @@ class _Join:
         self.texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text).alias("text"))
         survey = materialise(self.texts.mapInArrow(_counted(k, sketch_bits), "id long, n long, a long, b long, counts binary"))
         self.levels = spark.sparkContext.broadcast(_levels(survey, sketch_bits))
+        wh.release()
 
         rows = survey.where("n >= 0").select("id", "n", "a", "b")
         # written first, so that a large group of copies can be split in the join

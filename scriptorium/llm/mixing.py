@@ -45,11 +45,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .storage import materialise
+from .storage import materialise, tidy
 from .text import drop_clashes
 
 HASH_BITS = 18
 STEM_BYTES = 6
+_PART = 1 << 20
 _CLASSES = [np.isin(np.arange(256), list(b)) for b in (b"#*$%&<>", b"|", b"!", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:?")]
 N_SHARES = len(_CLASSES) + 3
 
@@ -147,46 +148,54 @@ def _likelihood_ratio(table: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return 2 * np.nan_to_num(yes + no).sum(axis=1)
 
 
-def fit(rows: list) -> Model:
-    """Fit on collected training rows (domain, shares, words)."""
-    shares = np.stack([np.frombuffer(r["shares"]) for r in rows])
-    words = [np.frombuffer(r["words"], "<i4") for r in rows]
-    parts = [r["domain"].split(" ") for r in rows]
-    return Model([_fit_factor([p[i] for p in parts], shares, words) for i in range(len(parts[0]))])
+def _flat(column: pa.ChunkedArray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a binary column, one behind the other, and how many each row has."""
+    parts = [c for c in column.chunks if len(c)]
+    edges = [np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1] for c in parts]
+    values = [np.frombuffer(c.buffers()[2], np.uint8)[e[0] : e[-1]].view(dtype) for c, e in zip(parts, edges, strict=True)]
+    return np.concatenate(values), np.concatenate([np.diff(e) for e in edges]) // np.dtype(dtype).itemsize
 
 
-def _fit_factor(labels: list[str], shares: np.ndarray, words: list[np.ndarray], n_words: int = 400, steps: int = 150, decay: float = 3e-4) -> Factor:
+def fit(rows: pa.Table) -> Model:
+    """Fit on collected training rows (domain, shares, words); words stay in one array."""
+    shares = _flat(rows.column("shares"), "<f8")[0].reshape(-1, N_SHARES)
+    words, n = _flat(rows.column("words"), "<i4")
+    owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    parts = [d.split(" ") for d in rows.column("domain").to_pylist()]
+    return Model([_fit_factor([p[i] for p in parts], shares, words, owner) for i in range(len(parts[0]))])
+
+
+def _fit_factor(labels: list[str], shares: np.ndarray, words: np.ndarray, owner: np.ndarray, n_words: int = 400, steps: int = 150, decay: float = 3e-4) -> Factor:
     domains = sorted(set(labels))
-    rows = labels
     y = np.array([domains.index(x) for x in labels])
     k, totals = len(domains), np.bincount(y, minlength=len(domains)).astype(float)
     table = np.zeros((1 << HASH_BITS, k))
-    for c in range(k):
-        got = [words[i] for i in np.flatnonzero(y == c)]
-        table[:, c] = np.bincount(np.concatenate(got), minlength=1 << HASH_BITS)
+    parts = [slice(i, i + _PART) for i in range(0, len(words), _PART)]
+    for part in parts:
+        np.add.at(table, (words[part], y[owner[part]]), 1)
     gain = _likelihood_ratio(table, totals)
     chosen = np.argsort(-gain, kind="stable")[:n_words]
     chosen = chosen[gain[chosen] > 15]
     place = np.full(1 << HASH_BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     mean, scale = shares.mean(axis=0), shares.std(axis=0) + 1e-6
-    x = np.zeros((len(rows), len(chosen) + N_SHARES + 1), np.float32)
-    for i, w in enumerate(words):
-        at = place[w]
-        x[i, at[at >= 0]] = 1
+    x = np.zeros((len(y), len(chosen) + N_SHARES + 1), np.float32)
+    for part in parts:
+        at = place[words[part]]
+        x[owner[part][at >= 0], at[at >= 0]] = 1
     x[:, len(chosen) : -1] = (shares - mean) / scale
     x[:, -1] = 1
     target = np.eye(k, dtype=np.float32)[y]
     w = np.zeros((x.shape[1], k), np.float32)
     ahead, t = w, 1.0
     # presence columns are sparse: steps follow each column's own size
-    step = 2.0 / ((x * x).mean(axis=0)[:, None] * 40 + decay)
+    step = 2.0 / (np.einsum("ij,ij->j", x, x)[:, None] / len(y) * 40 + decay)
     for _ in range(steps):
         z = x @ ahead
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
-        new = ahead - step * (x.T @ (p - target) / len(rows) + decay * ahead)
+        new = ahead - step * (x.T @ (p - target) / len(y) + decay * ahead)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, w, t = new + (t - 1) / t_new * (new - w), new, t_new
     m = len(chosen)
@@ -199,8 +208,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     known = labels.dropna().groupBy(id_col).agg(F.min(F.struct(*names)).alias("l"))
     domain = F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.regexp_replace(F.col(f"l.{c}").cast("string"), " ", "_")) for c in sorted(names)])
     sample = known.select(id_col, domain.alias("__domain")).orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(max_train)
-    rows = docs.join(F.broadcast(sample), id_col).select("__domain", F.col(text)).mapInArrow(_training_rows, "domain string, shares binary, words binary").toArrow().to_pylist()
-    model = fit(rows) if rows else None
+    rows = docs.join(F.broadcast(sample), id_col).select("__domain", F.col(text)).mapInArrow(_training_rows, "domain string, shares binary, words binary").toArrow()
+    tidy(docs.sparkSession)
+    model = fit(rows) if rows.num_rows else None
     del rows
     wh.release()
     return model

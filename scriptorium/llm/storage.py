@@ -11,6 +11,7 @@ cluster without the setting is an error.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,9 +50,16 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove the files of materialised tables that nothing still to be run will read."""
+    """Remove the files of materialised tables that nothing still to be run will read, and the shuffles behind them."""
     for t in tables:
         delete(t.sparkSession, t._scratch)
+    tidy(tables[0].sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect its garbage now: Spark's cleaner then drops shuffles and broadcasts that no plan refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def clear(spark: SparkSession) -> None:
