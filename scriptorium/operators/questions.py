@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # Abbreviation, full name.
 ALIASES = (
     ("MBA", "Master of Business Administration"),
@@ -150,12 +152,12 @@ def uncovered_abbreviations(text: Column) -> Column:
 
 
 def intents(question: Column) -> Column:
-    found = F.array_compact(F.array(*[F.when(F.rlike(question, F.lit("(?i)" + p)), F.lit(n)) for n, p, _ in INTENTS]))
+    found = F.array_compact(F.array(*[F.when(F.rlike(question, F.lit(T.any_case(p))), F.lit(n)) for n, p, _ in INTENTS]))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("general")))
 
 
 def preferred_fields(question: Column) -> Column:
-    parts = [F.when(F.rlike(question, F.lit("(?i)" + p)), F.array(*[F.lit(x) for x in fields])) for _, p, fields in INTENTS if fields]
+    parts = [F.when(F.rlike(question, F.lit(T.any_case(p))), F.array(*[F.lit(x) for x in fields])) for _, p, fields in INTENTS if fields]
     return F.array_distinct(F.flatten(F.array_compact(F.array(*parts))))
 
 
