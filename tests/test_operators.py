@@ -101,3 +101,9 @@ def test_vector_literals_and_sparse_features_agree_with_vectors(spark):
     one, none = df.select(vectors.hash_features(64)("w").alias("f"), vectors.hash_embedding(64)("w").alias("e"), vectors.vector_literal(F.col("v")).alias("s")).collect()
     assert {x.bucket: x.weight for x in one.f} == {i: x for i, x in enumerate(one.e) if x} and one.s == "[0.500000000,-1.25000000e-07,1.00000000]"
     assert none.f == [] and none.s is None
+
+
+def test_vector_literals_round_exact_halves_to_even(spark):
+    rows = [([1.0390625, 1.0234375, -1.0390625, 0.0, -0.0, None, float("nan"), float("inf")],), ([],), (None,)]
+    got = [r.s for r in spark.createDataFrame(rows, "v array<float>").coalesce(1).select(vectors.vector_literal(F.col("v"), "%.6e").alias("s")).collect()]
+    assert got == ["[1.039062e+00,1.023438e+00,-1.039062e+00,0.000000e+00,-0.000000e+00,nan,inf]", "[]", None]
