@@ -22,6 +22,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from . import questions as Q
 from . import ranking as R
+from . import scan
 
 #: Intents that a course's own passage answers. Fixed values.
 PROFILE_INTENTS = ("eligibility", "age_limit", "selection", "test_paper", "intake", "duration")
@@ -73,12 +74,18 @@ def vector_scores(passages: DataFrame, analysed: DataFrame, dims: int = 1024) ->
 
 
 def _both_ranks(passages: DataFrame, analysed: DataFrame, limit: int | None, types: tuple[str, ...] | None) -> DataFrame:
-    """Both lists fused; statistics cover all passages, ranks those of the given types."""
+    """Both lists fused; statistics cover all passages, ranks those of the given types.
 
-    def allowed(scores: DataFrame) -> DataFrame:
-        return scores.join(passages.where(F.col("type").isin(*types)).select("id"), "id", "left_semi") if types else scores
-
-    return R.fuse(R.ranked(allowed(lexical_scores(passages, analysed)), limit), R.ranked(allowed(vector_scores(passages, analysed)), limit))
+    One scan of the passages ranks by both, with the questions in every task; too many questions meet them in joins.
+    """
+    allowed = passages.where(F.col("type").isin(*types)) if types else passages
+    q = scan.asked(analysed, "query_id", "expanded", R.MOST_QUESTIONS)
+    if q:
+        scores = scan.scored(_scored(allowed), "id", "body", q, [scan.lexical(_scored(passages), "body", q), scan.hashed(q, embedded=True)], limit)
+        fused = R.fuse_lists(R.ranked(scores, limit, within=("l", "query_id")))
+        return F.broadcast(fused) if limit else fused
+    kept = lambda scores: scores.join(allowed.select("id"), "id", "left_semi") if types else scores
+    return R.fuse(R.ranked(kept(lexical_scores(passages, analysed)), limit), R.ranked(kept(vector_scores(passages, analysed)), limit))
 
 
 def search(passages: DataFrame, analysed: DataFrame, limit: int = 5, candidates: int = 40, types: tuple[str, ...] | None = None) -> DataFrame:
