@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium import plans
-from scriptorium.operators import ranking
+from scriptorium.operators import ranking, search
 
 from .compare import SF, assert_same
 
@@ -74,3 +75,17 @@ def test_neither_pairs_nor_words_are_joined_or_shuffled(spark, name):
     plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") >= 1 and "Generate" not in plan and "NestedLoop" not in plan and "SortMergeJoin" not in plan
     assert name not in ("cosine_pairs", "hash_features_trigrams", "bm25_scores") or "Exchange" not in plan
+
+
+def test_search_by_a_scan_equals_search_by_joins(spark, monkeypatch):
+    texts = [f"Course {i % 7} costs {i} rupees, apply by day {i % 5}. Fee: {i % 3}" for i in range(60)] + [None]
+    passages = spark.createDataFrame([(f"p{i}", "en", t, "policy_section", None, "c") for i, t in enumerate(texts)], "id string, title string, text string, type string, field_name string, parent string")
+    courses = spark.createDataFrame([("c", "Course 3", "other")], "parent string, course_name string, program_level string")
+    asked = search.analyse(spark.createDataFrame([(1, "what is the fee of Course 3"), (2, "apply by day 4"), (3, "rupees")], "query_id long, text string"), courses)
+    rows = lambda: sorted(map(tuple, search.search(passages, asked, 5).select("query_id", "id", "place", F.round("score", 9)).collect()))
+    hits = search.search(passages, asked, 5)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") >= 1
+    scanned = rows()
+    monkeypatch.setattr(ranking, "MOST_QUESTIONS", 1)
+    assert scanned and scanned == rows()
