@@ -89,3 +89,14 @@ def test_search_by_a_scan_equals_search_by_joins(spark, monkeypatch):
     scanned = rows()
     monkeypatch.setattr(ranking, "MOST_QUESTIONS", 1)
     assert scanned and scanned == rows()
+
+
+LISTED = (
+    "candidate_union",
+)
+
+
+@pytest.mark.parametrize("name", LISTED)
+def test_both_lists_come_from_one_scan(spark, name):
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Generate" not in plan and "NestedLoop" not in plan
