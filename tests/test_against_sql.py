@@ -93,7 +93,7 @@ def test_search_by_a_scan_equals_search_by_joins(spark, monkeypatch):
 
 LISTED = (
     "candidate_union", "eval_accuracy", "eval_hit_at_k", "ctx_render", "discover_topk", "eval_rank_limit", "hydrate_chunks", "hydrate_parent_inner",
-    "hydrate_parent_left", "merge_dedupe",
+    "hydrate_parent_left", "merge_dedupe", "rrf_fusion",
 )
 
 
