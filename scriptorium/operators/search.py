@@ -99,7 +99,8 @@ def search(passages: DataFrame, analysed: DataFrame, limit: int = 5, candidates:
     wanted = F.coalesce(F.array_contains("preferred", F.col("field_name")), F.lit(False))
     profile = (F.col("type") == PROFILE) & named & F.arrays_overlap("intents", F.array(*[F.lit(x) for x in PROFILE_INTENTS]))
     exact = ((F.size("preferred") == 0) | wanted) & Q.exact_value(F.col("expanded"), F.col("text"))
-    parts = {"intent_boost": R.boosts(wanted | profile, F.lit(False), F.lit(False)), "exact_boost": R.boosts(F.lit(False), exact, F.lit(False)), "name_boost": R.boosts(F.lit(False), F.lit(False), named)}
+    no = F.lit(False)
+    parts = {"intent_boost": R.boosts(wanted | profile, no, no, no), "exact_boost": R.boosts(no, exact, no, no), "name_boost": R.boosts(no, no, named, no)}
     rows = rows.withColumns(parts).withColumn("score", F.round(F.col("fused") + F.col("intent_boost") + F.col("exact_boost") + F.col("name_boost"), 12))
     return R.top(rows, limit, "score").select("query_id", "id", "place", "score", "lrank", "vrank", "lscore", "vscore", *parts)
 
@@ -110,7 +111,8 @@ def discover(passages: DataFrame, analysed: DataFrame, courses: DataFrame, limit
         raise ValueError("limit must be at least 1")
     rows = _both_ranks(passages, analysed, None, (PROFILE,)).join(passages.select("id", "parent"), "id").join(courses.select("parent", "program_level"), "parent")
     rows = rows.join(analysed.select("query_id", "levels"), "query_id")
-    rows = rows.withColumn("level_boost", F.when(F.array_contains("levels", F.col("program_level")), 0.5 / (R.K + 1)).otherwise(0.0))
+    no = F.lit(False)
+    rows = rows.withColumn("level_boost", R.boosts(no, no, no, F.array_contains("levels", F.col("program_level"))))
     rows = rows.withColumn("score", F.round(F.col("fused") + F.col("level_boost"), 12))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("fused"), F.coalesce("lscore", F.lit(0.0)).desc(), F.coalesce("vscore", F.lit(0.0)).desc(), "id")
     return rows.withColumn("place", F.row_number().over(by)).where(F.col("place") <= limit).select("query_id", "id", "parent", "place", "score", "level_boost")

@@ -52,6 +52,22 @@ def test_rankings_of_empty_missing_copied_and_folded_texts(same):
     )
 
 
+def test_boosts_have_the_level_that_a_question_opens(spark, same, tmp_path):
+    asked = [(1, "fee with a bachelor degree"), (2, "fee with a MASTER's degree"), (3, "fee, I finished class 12"), (4, "the fee"), (5, None), (6, "fee"), (6, "I hold a bachelor's fee"), (6, "I have class 12 fee"), (7, "hold\nbachelor fee")]
+    docs = [(i, f"fee w{i}", lang, "src1", 1) for i, lang in enumerate(["fr", "de", "es", "it", None])]
+    same(
+        ("boosted_scores", "discover_topk"),
+        documents=(docs, "doc_id long, text string, lang string, source string, n_chars int"),
+        benchmark=(asked, "item_id long, text string"),
+    )
+    langs = ("fr", "de", "es")
+    base = {(r.query_id, r.id): r.fused for r in plans.QUERIES["rrf_fusion"](spark, str(tmp_path)).collect()}
+    got = {(r.query_id, langs[r.id]) for r in plans.QUERIES["boosted_scores"](spark, str(tmp_path)).collect() if r.boosted - base[r.query_id, r.id] > 0.5 / 61 - 1e-8}
+    assert got == {(1, "fr"), (3, "de"), (3, "es"), (6, "fr"), (6, "de"), (6, "es")}
+    no, yes = F.lit(False), F.lit(True)
+    assert spark.range(1).select(ranking.boosts(no, no, no, yes), ranking.boosts(yes, yes, yes, yes)).first()[:] == pytest.approx((0.5 / 61, 3.75 / 61))
+
+
 def test_vector_ranks_of_copies_and_missing_vectors(spark, same):
     vectors = [[float((i * j) % 5 - 2) / 3 for j in range(1, 9)] for i in range(120)]
     same(("vector_topk", "vector_rank", "cosine_pairs"), embeddings=([(i, vectors[i % 40]) for i in range(120)], "vec_id long, embedding array<float>"))
