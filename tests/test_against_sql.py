@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium import plans
-from scriptorium.operators import ranking, search
+from scriptorium.operators import ranking, scan, search
 
 from .compare import SF, assert_same
 
@@ -77,6 +77,15 @@ def test_vector_ranks_of_copies_and_missing_vectors(spark, same):
     assert [r.id for r in got.where("query_id = 2").orderBy("rank").collect()] == [1, 2, 3]
 
 
+def test_a_task_of_all_pairs_has_few_questions(spark, same, tmp_path, monkeypatch):
+    monkeypatch.setattr(scan, "PAIR_QUESTIONS", 7)
+    same(("cosine_pairs", "vector_topk"), embeddings=([(i * 25, [float(i % 7), 1.0]) for i in range(50)], "vec_id long, embedding array<float>"))
+    pairs = plans.QUERIES["cosine_pairs"](spark, str(tmp_path))
+    asked = [r.n for r in pairs.groupBy(F.spark_partition_id()).agg(F.count_distinct("query_id").alias("n")).collect()]
+    assert sum(asked) >= 25 and max(asked) <= 7
+    assert plans.QUERIES["vector_topk"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_scans_of_few_questions_equal_joins_for_many(spark, monkeypatch):
     docs = spark.createDataFrame([(f"d{i}", f"w{i % 5} w{i % 3} fee {'due' * (i % 2)}") for i in range(90)] + [("none", None)], "doc_id string, text string")
     asked = spark.createDataFrame([(1, "w1 fee"), (1, "w2 due due"), (2, "w4 w0 w1"), (3, None)], "item_id int, text string")
